@@ -31,7 +31,8 @@ def shapes(words: pa.Array) -> pa.Array:
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, slot and value of each hashed feature: words and shapes of words, each alone and in pairs of neighbours.
+    """Text, slot and value of each hashed feature: words and shapes of words, each alone and in pairs of neighbours,
+    and which of three neighbours are the same word.
 
     The values of a text have length 1; a text without words has no features.
     """
@@ -45,6 +46,9 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shape = mix64(string_hash(shape_kinds) + _A)[shape_codes][codes]
     pair = rows[:-1] == rows[1:]
     kinds = [(rows, word), (rows, shape)] + [(rows[:-1][pair], mix64(x[:-1] * _A + x[1:] * _B)[pair]) for x in (word, shape)]
+    three = rows[:-2] == rows[2:]
+    alike = (codes[:-2] == codes[1:-1]) + 2 * (codes[1:-1] == codes[2:]) + 4 * (codes[:-2] == codes[2:])
+    kinds.append((rows[:-2][three], mix64(alike[three].astype(np.uint64) + _B)))
     slot = np.concatenate([r << BITS | (mix64(x) >> np.uint64(64 - BITS)).astype(np.int64) for r, x in kinds])
     slot, n = np.unique(slot, return_counts=True)
     row, slot = slot >> BITS, slot & ((1 << BITS) - 1)

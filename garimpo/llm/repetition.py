@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from garimpo.llm.common import coded, mix64, rows_of, sliced, split_words, sums
 
 #: n-gram length: most hundredths of a text's word characters that may lie in n-grams found twice or more in it.
-NGRAM_LIMITS = {5: 15, 7: 13, 10: 10}
+NGRAM_LIMITS = {5: 40, 7: 35, 10: 30}
 #: Most hundredths of a text's line characters that may lie in lines equal to an earlier line.
-LINE_LIMIT = 20
+LINE_LIMIT = 30
 #: Most hundredths of the words that may lie in repeated three-word windows, and fewest words.
 BASE_LIMIT, BASE_WORDS = 50, 50
 
