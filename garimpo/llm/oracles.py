@@ -1,6 +1,7 @@
 """DuckDB SQL for the rows of the queries."""
 
 from garimpo.llm.repetition import BASE_LIMIT, BASE_WORDS, LINE_LIMIT, NGRAM_LIMITS
+from garimpo.llm.substring import WINDOW
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -33,4 +34,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
-ORACLES = {"op10_quality_rules": _rules()}
+def _substrings() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+k AS (SELECT rid, doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d),
+w AS (SELECT rid, doc_id, k, CASE WHEN k + {WINDOW - 1} <= len(ws) THEN md5(array_to_string(list_slice(ws, k, k + {WINDOW - 1}), ' ')) END AS h, ws[k] AS word FROM k),
+f AS (SELECT h, min(doc_id) AS first_doc FROM w WHERE h IS NOT NULL GROUP BY h),
+m AS (SELECT rid, k, word, coalesce(doc_id > first_doc, false)::INT AS late FROM w LEFT JOIN f USING (h)),
+c AS (SELECT rid, k, word, max(late) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM m),
+r AS (SELECT rid, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM c GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
+ORACLES = {"op9_substring_dedup": _substrings(), "op10_quality_rules": _rules()}
