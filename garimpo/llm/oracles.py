@@ -48,4 +48,22 @@ FROM d LEFT JOIN r USING (rid)
 """
 
 
-ORACLES = {"op9_substring_dedup": _substrings(), "op10_quality_rules": _rules()}
+def _near_duplicates(width: int = 4) -> str:
+    """Sets of shingles, pairs that share a shingle, links, and the smallest doc_id that they reach."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {width - 2}), lambda k: array_to_string(list_slice(ws, k, k + {width - 1}), ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+ORACLES = {"op2_minhash_near_dedup": _near_duplicates(), "op9_substring_dedup": _substrings(), "op10_quality_rules": _rules()}
