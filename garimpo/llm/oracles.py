@@ -1,5 +1,7 @@
 """DuckDB SQL for the rows of the queries."""
 
+from garimpo.llm.lines import LINES
+from garimpo.llm.mixing import BUCKETS, MOST, SEED, SHARE, WEIGHTS
 from garimpo.llm.repetition import BASE_LIMIT, BASE_WORDS, LINE_LIMIT, NGRAM_LIMITS
 from garimpo.llm.substring import WINDOW
 
@@ -66,4 +68,38 @@ FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
-ORACLES = {"op2_minhash_near_dedup": _near_duplicates(), "op9_substring_dedup": _substrings(), "op10_quality_rules": _rules()}
+def _mixing() -> str:
+    names = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS))
+    return f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, coalesce(((doc_id % {BUCKETS}) + {BUCKETS}) % {BUCKETS}, -1) AS b FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(WEIGHTS)} {names} END AS weight, {MOST} * source_size AS most FROM s0),
+s2 AS (SELECT *, row_number() OVER w AS k, ({SHARE}::DOUBLE * (sum(source_size) OVER ())::DOUBLE
+  - coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM s1 WINDOW w AS (ORDER BY most / weight::DOUBLE, source ASC NULLS LAST)),
+s3 AS (SELECT *, min(CASE WHEN level * weight <= most THEN k END) OVER () AS open FROM s2),
+s4 AS (SELECT *, max(CASE WHEN k = open THEN level END) OVER () AS final FROM s3),
+s5 AS (SELECT source, source_size, CASE WHEN open IS NULL OR k < open THEN most::DOUBLE ELSE final * weight END AS target,
+  ('0x' || substr(md5('{SEED}:' || coalesce(source, chr(1) || 'null')), 1, 5))::BIGINT::DOUBLE / 1048576 AS u FROM s4),
+r AS (SELECT d.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+  (row_number() OVER (PARTITION BY d.source ORDER BY size, b, doc_id NULLS FIRST))::DOUBLE AS k
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
+SELECT doc_id, size, source_size, target, ((floor(k * rate + u) - floor((k - 1) * rate + u)) * size)::BIGINT AS taken FROM r
+"""
+
+
+def _lines() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM d),
+w0 AS (SELECT rid, doc_id, k, ls[k] AS line, CASE WHEN k + {LINES - 1} <= len(ls) THEN array_to_string(list_slice(ls, k, k + {LINES - 1}), chr(10)) END AS g FROM k),
+w AS (SELECT rid, doc_id, k, line, CASE WHEN regexp_matches(g, '[^\\x20\\x09-\\x0D]') THEN md5(g) END AS h FROM w0),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_doc, row_number() OVER (PARTITION BY h, rid ORDER BY k) AS nth FROM w),
+m AS (SELECT rid, k, line, (h IS NOT NULL AND (nth > 1 OR doc_id > first_doc))::INT AS late FROM f),
+c AS (SELECT rid, k, line, max(late) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN {LINES - 1} PRECEDING AND CURRENT ROW) AS gone FROM m),
+r AS (SELECT rid, sum(gone)::BIGINT AS n_removed, string_agg(line, chr(10) ORDER BY k) FILTER (gone = 0) AS kept FROM c GROUP BY rid)
+SELECT doc_id, len(ls) AS n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN r USING (rid)
+"""
+
+
+ORACLES = {"op5_mixing": _mixing(), "op6_line_dedup": _lines(), "op2_minhash_near_dedup": _near_duplicates(), "op9_substring_dedup": _substrings(), "op10_quality_rules": _rules()}

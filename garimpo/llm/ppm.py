@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from garimpo.llm.common import crc_mod, sliced
 
 ORDER = 3
-#: The trees are learned from this many documents of each language at most, those whose id has the smallest hash.
-DOCS_PER_LANG = 400
+#: The trees are learned from this many documents of each language at most: of each of SALTS classes of ids' hashes an
+#: equal number, those whose id has the smallest hash.
+DOCS_PER_LANG, SALTS = 448, 64
 #: Contexts x symbols x languages in the table of costs; the rarest contexts go first where there are more.
 MAX_CELLS = 32 << 20
 #: Positions that are scored at once.
@@ -135,10 +136,11 @@ def code_lengths(trees: Trees, text: pa.Array) -> np.ndarray:
 
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Trees:
     """Trees from the rows of ``docs(doc_id, text, lang)`` whose lang and text aren't NULL."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    w = Window.partitionBy("lang", "salt").orderBy("hash", "doc_id")
     use = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    chosen = use.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= docs_per_lang).select("doc_id", "lang").distinct()
-    # at most docs_per_lang ids a language: small enough to send to every executor
+    hashed = use.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+    chosen = hashed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(1, docs_per_lang // SALTS)).select("doc_id", "lang").distinct()
+    # about docs_per_lang ids a language: small enough to send to every executor
     sample = use.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     found = sample.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())

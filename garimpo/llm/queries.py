@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import neardup, ppm, quality, repetition, substring
+from garimpo.llm import lines, mixing, neardup, ppm, quality, records, repetition, substring
 from garimpo.llm.common import table
 from garimpo.llm.oracles import ORACLES
 
@@ -24,6 +24,20 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.token_output(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,4 +48,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op4_quality_classifier, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op4_quality_classifier, op5_mixing, op6_line_dedup, op8_token_output, op9_substring_dedup, op10_quality_rules)}
