@@ -102,4 +102,22 @@ SELECT doc_id, len(ls) AS n_lines, n_removed, sha256(coalesce(kept, '')) AS kept
 """
 
 
-ORACLES = {"op5_mixing": _mixing(), "op6_line_dedup": _lines(), "op2_minhash_near_dedup": _near_duplicates(), "op9_substring_dedup": _substrings(), "op10_quality_rules": _rules()}
+def _tool_calls() -> str:
+    return """
+WITH c AS (SELECT conv_id, turn, text, turn::VARCHAR AS call_id FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, (turn - 1)::VARCHAR AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+g AS (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM 2 AS fresh FROM c),
+b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM g),
+l AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn) - 1)::INT AS level FROM b),
+j AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.call_id, r.call_id) AS call_id, level, turn, text, content,
+  CASE WHEN l.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.call_id = r.call_id)
+SELECT conv_id, call_id, level, row_number() OVER (PARTITION BY conv_id ORDER BY status = 'orphan', level NULLS LAST, turn NULLS FIRST, call_id)::INT AS place, status,
+  CASE WHEN status <> 'orphan' THEN length(text) > 0 AND turn >= 0 END AS valid,
+  '{"arguments":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn::VARCHAR || '}' END
+  || ',"id":"' || call_id || '","name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"reply"' END || ',"result":' || CASE WHEN content IS NULL THEN 'null' ELSE to_json(content)::VARCHAR END || '}' AS json
+FROM j
+"""
+
+
+ORACLES = {"op3_tool_call_linking": _tool_calls(), "op5_mixing": _mixing(), "op6_line_dedup": _lines(), "op2_minhash_near_dedup": _near_duplicates(), "op9_substring_dedup": _substrings(), "op10_quality_rules": _rules()}
