@@ -158,3 +158,13 @@ class Bitmap:
             return pd.Series((shared.value[s // 64] >> (s % 64).astype(np.uint64)) & np.uint64(1) == 1)
 
         return held(_slot(F.col(key)))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids(doc_id)``; only rows that may be in it are shuffled."""
+    ids = checkpoint(ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    maybe = Bitmap(ids, "doc_id")
+    held = maybe.column("doc_id")
+    gone = ids.withColumnRenamed("doc_id", "garimpo_gone")
+    left = docs.where(held).join(gone, F.col("doc_id") == F.col("garimpo_gone"), "left_anti")
+    return docs.where(~held).unionByName(left)

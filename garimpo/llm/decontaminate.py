@@ -3,9 +3,9 @@
 1. Benchmark texts are cut into passages; a term is a word in lower case without other characters than letters and
    digits, and has one of SLOTS slots by its hash. Document frequencies of the slots come from all documents.
 2. Randomised SVD of the passages' TF-IDF matrix: powers of X'X are applied to a random block, whose products with the
-   rows are summed by the executors, SLABS of slots at a time; the driver holds SLOTS x (RANK + OVER) numbers.
+   rows are summed by the executors, SLAB slots at a time; the driver holds SLOTS x (RANK + OVER) numbers at most.
 3. Windows of every document are projected and compared with the passages, a block of PASSAGES at a time, by cosine.
-4. Candidates are confirmed by the longest common subsequence of terms, weighted by idf: a leak if it has SHARE of the
+4. Candidates are confirmed by the longest common subsequence of terms, weighted by squared idf: a leak if it has SHARE of the
    passage's weight, or PARAPHRASE of it while the item's answer (its last sentence) is there too.
 """
 
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from garimpo.llm.common import coded, mix64, rows_of, sliced, split_words, string_hash
 
 SLOT_BITS = 16
-SLOTS, SLABS = 1 << SLOT_BITS, 256
-RANK, OVER, POWERS = 64, 8, 2
+SLOTS, SLAB = 1 << SLOT_BITS, 1024
+RANK, OVER, POWERS = 128, 16, 2
 PASSAGE, WINDOW, STRIDE = 64, 64, 16
 #: Passages that an executor holds at once; more are searched for in further passes.
 PASSAGES = 20_000
-COSINE, SHARE, PARAPHRASE, ANSWER = 0.45, 0.6, 0.4, 0.8
+COSINE, SHARE, PARAPHRASE, ANSWER = 0.3, 0.6, 0.4, 0.8
 
 
 def terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,20 +103,26 @@ def _matrix(lists: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, s, value / np.maximum(norm[row], 1e-12)
 
 
-def _times(found: DataFrame, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """X'X q, X being the passages' matrix: partial sums by partition, then by slab of slots."""
-    shared = found.sparkSession.sparkContext.broadcast((q, idf))
+def _columns(known: np.ndarray) -> np.ndarray:
+    """Number of each known slot among the known; of the others, the one after these."""
+    return np.where(known, np.cumsum(known) - 1, known.sum())
+
+
+def _times(found: DataFrame, q: np.ndarray, idf: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """X'X q, X being the passages' matrix with a column for each known slot: partial sums by partition, then by slab of columns."""
+    shared = found.sparkSession.sparkContext.broadcast((q, idf, _columns(known)))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, idf = shared.value
-        out = np.zeros(block.shape)
+        block, idf, column = shared.value
+        out = np.zeros((-(-len(block) // SLAB) * SLAB, block.shape[1]))
         for batch in batches:
             if batch.num_rows:
                 row, s, value = _matrix(batch.column(0).to_pylist(), idf)
+                s = column[s]
                 y = np.zeros((batch.num_rows, block.shape[1]))
                 np.add.at(y, row, value[:, None] * block[s])
                 np.add.at(out, s, value[:, None] * y[row])
-        slabs = out.reshape(SLABS, -1)
+        slabs = out.reshape(len(out) // SLAB, -1)
         some = np.flatnonzero(np.abs(slabs).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([slabs[i].tobytes() for i in some], pa.binary())], names=["slab", "sums"])
 
@@ -124,21 +130,22 @@ def _times(found: DataFrame, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
         return pd.DataFrame({"slab": frame["slab"].iloc[:1], "sums": [np.sum([np.frombuffer(x) for x in frame["sums"]], axis=0).tobytes()]})
 
     sums = found.select("terms").mapInArrow(part, "slab int, sums binary").groupBy("slab").applyInPandas(add, "slab int, sums binary").collect()
-    out = np.zeros((SLABS, q.size // SLABS))
+    out = np.zeros((-(-len(q) // SLAB), SLAB * q.shape[1]))
     for r in sums:
         out[r["slab"]] = np.frombuffer(r["sums"])
-    return out.reshape(q.shape)
+    return out.reshape(-1, q.shape[1])[: len(q)]
 
 
 def latent_space(found: DataFrame, idf: np.ndarray, known: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """The leading right singular vectors, SLOTS x rank; unknown slots are 0."""
-    q = np.random.default_rng(seed).normal(size=(SLOTS, rank + OVER)) * known[:, None]
+    """The leading right singular vectors, a row for each known slot and one of zeros for the others."""
+    q = np.random.default_rng(seed).normal(size=(int(known.sum()), rank + OVER))
     for _ in range(POWERS):
-        q = np.linalg.qr(_times(found, q, idf))[0]
-    small = q.T @ _times(found, q, idf)
+        q = np.linalg.qr(_times(found, q, idf, known))[0]
+    small = q.T @ _times(found, q, idf, known)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(-values)[:rank]
-    return (q @ vectors[:, best[values[best] > 1e-9]]).astype(np.float32)
+    space = (q @ vectors[:, best[values[best] > 1e-9]]).astype(np.float32)
+    return np.concatenate([space, np.zeros((1, space.shape[1]), np.float32)])
 
 
 def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
@@ -152,13 +159,15 @@ def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, idf, points, items, lists, answers = shared.value
+        space, idf, column, points, items, lists, answers = shared.value
         weigh = lambda h: np.where(h > 0, idf[slots(h)], 0.0)
         masses = [weigh(x) for x in lists]
+        places, there = [slots(x) for x in lists], np.zeros(SLOTS, bool)
         least = PARAPHRASE * min((m.sum() for m in masses), default=np.inf)
         for batch in sliced(batches):
             offsets, h = terms(batch.column(1))
             s = slots(h)
+            c = column[s]
             w = weigh(h)
             total = np.concatenate(([0], np.cumsum(w)))
             size = np.diff(offsets)
@@ -172,8 +181,9 @@ def _search(shared):
                 pick = heavy[lo : lo + 512]
                 at = np.minimum(begin[pick][:, None] + np.arange(WINDOW), max(len(h) - 1, 0))
                 value = np.where(np.arange(WINDOW) < (end - begin)[pick][:, None], w[at], 0).astype(np.float32)
-                point = np.einsum("nw,nwk->nk", value, space[s[at]])
-                point /= np.maximum(np.linalg.norm(point, axis=1, keepdims=True), 1e-12)
+                point = np.einsum("nw,nwk->nk", value, space[c[at]])
+                # by the length of the whole vector: what lies outside the space speaks against a match
+                point /= np.maximum(np.linalg.norm(value, axis=1, keepdims=True), 1e-12)
                 cosine = point @ points.T
                 for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
                     d = int(doc[pick[i]])
@@ -182,7 +192,10 @@ def _search(shared):
                     b, e = max(offsets[d], begin[pick[i]] - STRIDE), min(offsets[d + 1], end[pick[i]] + STRIDE)
                     own = h[b:e]
                     mass = masses[j].sum()
-                    if mass <= 0 or masses[j][np.isin(lists[j], own)].sum() < PARAPHRASE * mass:
+                    there[s[b:e]] = True
+                    both = masses[j][there[places[j]]].sum()
+                    there[s[b:e]] = False
+                    if mass <= 0 or both < PARAPHRASE * mass - 1e-9:
                         continue
                     share = common_weight(lists[j], own, masses[j]) / mass
                     if share < SHARE and share >= PARAPHRASE and len(answers[j]):
@@ -217,17 +230,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not known.any():
         return empty
     n, df = document_frequencies(docs, known)
-    idf = np.where(known, np.log((n + 1) / (df + 1)) + 1e-3, 0.0)
-    space = latent_space(found, idf, known)
+    # squared, so that words that most texts have weigh next to nothing in vectors, masses and subsequences alike
+    idf = np.where(known, np.log((n + 1) / (df + 1)) ** 2 + 1e-3, 0.0)
+    space, column = latent_space(found, idf, known), _columns(known)
     out = None
     for part in _blocks(found):
         lists = [np.array(r["terms"], np.int64).view(np.uint64) for r in part]
         row, s, value = _matrix([x.view(np.int64) for x in lists], idf)
         points = np.zeros((len(lists), space.shape[1]), np.float32)
-        np.add.at(points, row, (value[:, None] * space[s]).astype(np.float32))
+        np.add.at(points, row, (value[:, None] * space[column[s]]).astype(np.float32))
         points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
         answers = [np.array(r["answer"], np.int64).view(np.uint64) for r in part]
-        shared = spark.sparkContext.broadcast((space, idf, points, [r["item_id"] for r in part], lists, answers))
+        shared = spark.sparkContext.broadcast((space, idf, column, points, [r["item_id"] for r in part], lists, answers))
         one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, share double")
         out = one if out is None else out.unionByName(one)
     return empty if out is None else out

@@ -11,7 +11,7 @@ _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 def _rules() -> str:
     """Each text's words in a list; the words inside repeated windows are found by the windows' places."""
     lengths = sorted({3, *NGRAM_LIMITS})
-    grams = ", ".join(f"CASE WHEN k + {n - 1} <= nw THEN array_to_string(list_slice(ws, k, k + {n - 1}), ' ') END AS g{n}" for n in lengths)
+    grams = ", ".join(f"CASE WHEN k + {n - 1} <= nw THEN hash(list_slice(ws, k, k + {n - 1})) END AS g{n}" for n in lengths)
     seen = ", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY rid, g{n}) > 1 AS d{n}" for n in lengths)
     inside = ", ".join(f"max(d{n}::INT) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in lengths)
     totals = "sum(c3) AS n_repeat_words, sum(length(w)) AS word_chars, " + ", ".join(f"sum(c{n} * length(w)) AS dup{n}" for n in NGRAM_LIMITS)

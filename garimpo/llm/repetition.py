@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from garimpo.llm.common import coded, mix64, rows_of, sliced, split_words, sums
 
@@ -70,6 +71,7 @@ def line_figures(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch's columns, and each text's figures behind them."""
     for batch in sliced(batches):
         text = batch.column(batch.schema.get_field_index("text")).fill_null("")
         offsets, words = split_words(text)
@@ -83,21 +85,19 @@ def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [np.diff(offsets), sums(chars, offsets), symbols, dup_lines, sums(covered_words(codes, offsets, rows, 3), offsets), dup_line_chars, line_chars]
         out += [sums(np.where(covered_words(codes, offsets, rows, n), chars, 0), offsets) for n in NGRAM_LIMITS]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        rest = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in rest] + [pa.array(x, pa.int64()) for x in out], names=rest + names)
+        yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(x, pa.int64()) for x in out], names=batch.schema.names + names)
 
 
-def repetition(docs: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """``key`` columns, the figures of each whole text, ``base_failed`` and ``kept``.
+def repetition(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, the figures of each whole text, ``base_failed`` and ``kept``.
 
     A row for each row of ``docs``; repeated rows count alone. A NULL or empty text has no word and fails the base
     rule. ``kept``: the base rule holds, and for each length of NGRAM_LIMITS and for lines the repeated characters
-    stay within the limit. Extra columns are ignored.
+    stay within the limit. Extra columns pass through; those with a figure's name are left out.
     """
-    key = key or ["doc_id"]
-    use = docs.select(*key, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in use.schema if f.name != "text")
-    found = use.mapInArrow(figures, f"{kinds}, {SCHEMA}")
+    made = {x.split()[0] for x in SCHEMA.split(", ")} | {"base_failed", "kept"}
+    use = docs.select(*[f"`{c}`" for c in docs.columns if c not in made])
+    found = use.mapInArrow(figures, T.StructType(use.schema.fields + T._parse_datatype_string(SCHEMA).fields))
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_LIMIT * F.col("n_words"))
     good = 100 * F.col("dup_line_chars") <= LINE_LIMIT * F.col("line_chars")
     for n, most in NGRAM_LIMITS.items():
