@@ -100,7 +100,7 @@ def robots_udf(agent: str = USER_AGENT):
         parsed: dict[str, urllib.robotparser.RobotFileParser] = {}
 
         def one(t: str | None, p: str) -> bool:
-            if not t:
+            if not isinstance(t, str) or not t:
                 return True
             if t not in parsed:
                 parsed[t] = urllib.robotparser.RobotFileParser()
