@@ -32,7 +32,7 @@ class Index:
 def occurrences(docs: DataFrame, stopwords: bool = True, stemming: bool = True) -> DataFrame:
     """doc_id, term, tf and first place of each term of each document: the title three times, then the text.
 
-    Counted within the row, so that only distinct terms are exploded and nothing is shuffled.
+    A document's terms meet in the partial aggregate, so that the shuffle has a row for each distinct term.
     """
     text = F.concat(F.repeat(F.concat(F.coalesce("title", F.lit("")), F.lit(" ")), TITLE_WEIGHT), F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.posexplode(X.terms(text, stopwords, stemming)).alias("pos", "term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
