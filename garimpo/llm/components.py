@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from garimpo.llm.common import checkpoint
 
-_EMPTY = "u long, v long"
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex is tied to the smallest of the vertex and its neighbours."""
     both = edges.select("u", "v").union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -24,21 +22,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", "m")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a vertex without other edges to its centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("x").agg(F.sum("out").alias("n"), F.max("centre").alias("c")).where("n > 1 or (n > 0 and c > 0)").limit(1).count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """u, v for each vertex u of ``links(u, v)`` that isn't the smallest of its component, v being that smallest.
 
-    Every step is an aggregate and a join on the vertex; only a count and a checksum come to the driver. Self-links,
-    repeated links and an empty table are allowed; links with a NULL end are ignored.
+    Every step is an aggregate and a join on the vertex; only whether all are stars by now comes to the driver.
+    Self-links, repeated links and an empty table are allowed; links with a NULL end are ignored.
     """
-    edges = checkpoint(links.where("u != v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
-    state = _state(edges)
-    while state[0]:
+    edges = checkpoint(links.where("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct())
+    while not _stars(edges):
         edges = checkpoint(_small_star(_large_star(edges)))
-        before, state = state, _state(edges)
-        if state == before:
-            break
     return edges

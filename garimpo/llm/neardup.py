@@ -4,9 +4,11 @@
    A pair with similarity 0.8 misses all bands with a chance of (1 - 0.8^4)^32 = 5e-8.
 2. Texts with equal sets become one class, stood for by its smallest doc_id.
 3. Classes that share a bucket are compared with the bucket's smallest member, on full sets, in groups of bounded
-   size. Then components; pairs of a bucket that are in one component by now needn't be compared.
-4. The other pairs of a bucket are compared by their signatures, in blocks of bounded size, and what may reach the
-   threshold on full sets. So no link that joins two components is lost, and no group's pairs are all emitted.
+   size. Then components: what is in one component by now needn't be compared.
+4. Classes that shared buckets, directly or by others, make a cluster. Where it still has several components, all its
+   members meet those outside its largest component, in blocks of bounded size: first by signatures, then, what may
+   reach the threshold, on full sets. A block emits only links that join components. So no link that joins two
+   components is lost, and no group's pairs are emitted.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.common import Bitmap, checkpoint, mix64, rows_of, sliced, word_hashes
@@ -29,8 +31,8 @@ HASHES = BANDS * ROWS
 #: Members of a group that are compared with one leader, and of a block that is compared with another, in one go.
 GROUP, BLOCK = 1024, 2048
 #: Of the HASHES bytes of two signatures, those that must agree for a pair to be compared on full sets: the expected
-#: number at the threshold, less 6.5 standard deviations.
-SIGNATURE_LEAST = int(HASHES * PERCENT / 100 - 6.5 * (HASHES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+#: number at the threshold, less 5 standard deviations.
+SIGNATURE_LEAST = int(HASHES * PERCENT / 100 - 5 * (HASHES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, HASHES, dtype=np.uint64)
@@ -82,13 +84,12 @@ def _signatures(width: int):
             for r in range(ROWS):
                 key = mix64(key * _C + low[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))), pa.int32()), pa.array(key.ravel().view(np.int64)))
-            sig = iter([x.tobytes() for x in (mix64(low) & np.uint64(255)).astype(np.uint8)])
             first = np.cumsum(size[full]) - size[full]
             whole = np.zeros((len(size), 2), np.uint64)
             if len(first):
                 for j, salt in enumerate((_C, ~_C)):
                     whole[full, j] = np.add.reduceat(mix64(grams + salt), first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), bands, pa.array([next(sig) if f else None for f in full], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), bands], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
@@ -105,31 +106,97 @@ def _send_sets(width: int):
             n = size[row]
             pick = np.repeat(first[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(grams[pick].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([to.field(0), to.field(1), to.field(2), batch.column(0).take(pa.array(row)), sets], names=["leader", "salt", "role", "doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([to.field(0), to.field(1), to.field(2), to.field(3), batch.column(0).take(pa.array(row)), sets], names=["leader", "salt", "role", "comp", "doc_id", "grams"])
 
     return run
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets have PERCENT hundredths of their union in common."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if 100 * len(small) < PERCENT * len(large) or not len(small):
+        return False
+    where = np.searchsorted(large, small)
+    both = int((large[np.minimum(where, len(large) - 1)] == small).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """leader, salt, role, comp, doc_id and set of each row."""
+    for batch in batches:
+        at, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy().view(np.uint64)
+        for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+            yield *row, flat[at[i] : at[i + 1]]
+
+
+def _links(us: list, vs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of leader, salt, role: the leader's set, then those that are compared with it."""
-    place, lead = None, None
-    for batch in batches:
-        leader, salt, role, doc = (batch.column(k).to_pylist() for k in range(4))
-        at, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
-        us, vs = [], []
-        for i in range(batch.num_rows):
-            own = flat[at[i] : at[i + 1]]
-            if role[i] == 0:
-                place, lead = (leader[i], salt[i]), own.copy()
-            elif place == (leader[i], salt[i]):
-                small, large = (own, lead) if len(own) < len(lead) else (lead, own)
-                if 100 * len(small) >= PERCENT * len(large):
-                    where = np.searchsorted(large, small)
-                    both = int((large[np.minimum(where, len(large) - 1)] == small).sum())
-                    if 100 * both >= PERCENT * (len(own) + len(lead) - both):
-                        us.append(doc[i])
-                        vs.append(leader[i])
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    place, lead, us, vs = None, None, [], []
+    for leader, salt, role, _, doc, own in _sets(batches):
+        if role == 0:
+            place, lead = (leader, salt), own.copy()
+        elif place == (leader, salt) and similar(own, lead):
+            us.append(doc)
+            vs.append(leader)
+        if len(us) >= 10_000:
+            yield _links(us, vs)
+            us, vs = [], []
+    yield _links(us, vs)
+
+
+def joining_links(left: list[tuple], right: list[tuple]) -> tuple[list, list]:
+    """Links between (comp, doc_id, set) of two sides that join components which no other of them has joined."""
+    sign = lambda rows: (mix64(minima(np.array([len(r[2]) for r in rows]), np.concatenate([r[2] for r in rows]))) & np.uint64(255)).astype(np.uint8)
+    a, b = sign(left), sign(right)
+    names, root = np.unique(np.array([r[0] for r in left + right], np.int64), return_inverse=True)
+    mine, theirs = root[: len(left)].copy(), root[len(left) :].copy()
+    us, vs = [], []
+    for i in range(len(left)):
+        js = np.flatnonzero(theirs != mine[i])
+        if not len(js):
+            continue
+        agree = (b[js] == a[i]).sum(1)
+        for j in js[np.argsort(-agree, kind="stable")][: int((agree >= SIGNATURE_LEAST).sum())].tolist():
+            if mine[i] != theirs[j] and similar(left[i][2], right[j][2]):
+                us.append(left[i][1])
+                vs.append(right[j][1])
+                old, new = theirs[j], mine[i]
+                mine[mine == old], theirs[theirs == old] = new, new
+    return us, vs
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of cluster, pair of blocks, side: the sides of a pair, of about BLOCK members each, are held at once."""
+    place, sides = None, ([], [])
+    for leader, salt, role, comp, doc, own in _sets(batches):
+        if place != (leader, salt):
+            if sides[0] and sides[1]:
+                yield _links(*joining_links(*sides))
+            place, sides = (leader, salt), ([], [])
+        sides[role].append((comp, doc, own.copy()))
+    if sides[0] and sides[1]:
+        yield _links(*joining_links(*sides))
+
+
+def _sent(docs: DataFrame, sends: DataFrame, width: int) -> DataFrame:
+    """The sets of the documents of sends(doc_id, leader, salt, role, comp), dealt by leader and salt, in order of role."""
+    sends = checkpoint(sends.groupBy("doc_id").agg(F.collect_list(F.struct("leader", "salt", "role", "comp")).alias("sends")))
+    maybe = Bitmap(sends, "doc_id")
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe.column("doc_id")).join(sends, "doc_id").select("doc_id", "text", "sends")
+    sent = sets.mapInArrow(_send_sets(width), "leader long, salt long, role int, comp long, doc_id long, grams array<long>")
+    return sent.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role", "doc_id")
+
+
+def _group(key: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.col(n))
+
+
+def _up_to(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -137,48 +204,25 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     A leader with many members meets them in groups of about GROUP, each with a copy of the leader's set.
     """
-    groups = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    members = pairs.join(groups, "leader").select(F.col("member").alias("doc_id"), "leader", F.pmod(F.xxhash64("member"), "groups").cast("int").alias("salt"), F.lit(1).alias("role"))
-    leaders = groups.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"))
-    sends = checkpoint(members.unionByName(leaders).groupBy("doc_id").agg(F.collect_list(F.struct("leader", "salt", "role")).alias("sends")))
-    maybe = Bitmap(sends, "doc_id")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe.column("doc_id")).join(sends, "doc_id").select("doc_id", "text", "sends")
-    sent = sets.mapInArrow(_send_sets(width), "leader long, salt int, role int, doc_id long, grams array<long>")
-    return sent.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role").mapInArrow(_compare, "u long, v long")
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket's two blocks that lie in two components and whose signatures agree well enough."""
-    held: list = []
-
-    def flush() -> pa.RecordBatch | None:
-        if not held:
-            return None
-        rep, comp, block = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
-        sig = np.frombuffer(b"".join(x[4] for x in held), np.uint8).reshape(len(held), HASHES)
-        lo, hi = held[0][0][1:]
-        us, vs = [], []
-        left = np.flatnonzero(block == lo)
-        right = np.flatnonzero(block == hi)
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (lo != hi))]
-            if len(js):
-                js = js[(sig[js] == sig[i]).sum(1) >= SIGNATURE_LEAST]
-                us += [int(rep[i])] * len(js)
-                vs += rep[js].tolist()
-        u, v = np.array(us, np.int64), np.array(vs, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["leader", "member"])
-
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-            band, lo, hi, rep, comp, block, sig = row
-            if held and held[0][0] != (band, lo, hi):
-                yield flush()
-                held = []
-            held.append(((band, lo, hi), rep, comp, block, sig))
-    last = flush()
-    if last is not None:
-        yield last
+    groups = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups"))
+    none = F.lit(0).cast("long").alias("comp")
+    members = pairs.join(groups, "leader").select(F.col("member").alias("doc_id"), "leader", _group("member", "groups").alias("salt"), F.lit(1).alias("role"), none)
+    leaders = groups.select(F.col("leader").alias("doc_id"), "leader", _up_to("groups").alias("salt"), F.lit(0).alias("role"), none)
+    return _sent(docs, members.unionByName(leaders), width).mapInArrow(_compare, "u long, v long")
+
+
+def unsettled(placed: DataFrame) -> DataFrame:
+    """Where the members of placed(rep, cluster, comp) are to meet, as doc_id, leader, salt, role, comp: in clusters of
+    three or more with several components, those outside the largest one (role 0) and all (role 1), block by block."""
+    comps = placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    clusters = comps.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and total > 2")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    clusters = clusters.select("cluster", F.col("most.comp").alias("largest"), blocks(F.col("total") - F.col("most.n")).alias("ko"), blocks(F.col("total")).alias("ka"))
+    rows = placed.join(clusters, "cluster")
+    outside = rows.where("comp != largest").withColumn("o", _group("rep", "ko")).withColumn("a", _up_to("ka"))
+    everyone = rows.withColumn("a", _group("rep", "ka")).withColumn("o", _up_to("ko"))
+    deal = lambda df, role: df.select(F.col("rep").alias("doc_id"), F.col("cluster").alias("leader"), (F.col("o") * F.col("ka") + F.col("a")).alias("salt"), F.lit(role).alias("role"), "comp")
+    return deal(outside, 0).unionByName(deal(everyone, 1))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -189,27 +233,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     whether that is the document itself. A row without doc_id is linked with nothing and kept. Rows that repeat a
     doc_id are one document that has all their links. Extra columns are ignored.
     """
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
     signed = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(width), schema))
     usable = signed.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    # one row of signature a class: the one of its smallest document
-    reps = usable.join(classes.select("rep").distinct().withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sig")
-    buckets = reps.select("rep", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("leader < last").select("band", "leader", "n")
-    met = checkpoint(buckets.join(shared, "band"))
+    buckets = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader")
+    met = checkpoint(buckets.join(shared, "band").where("rep != leader").select("leader", F.col("rep").alias("member")).distinct())
 
-    links = checkpoint(confirmed(docs, met.where("rep != leader").select("leader", F.col("rep").alias("member")).distinct(), width))
+    links = checkpoint(confirmed(docs, met, width))
     comps = components(links)
-
-    placed = met.where("n > 2 and rep != leader").join(comps.withColumnRenamed("u", "rep"), "rep", "left").select("band", "rep", F.coalesce("v", "rep").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("c0 < c1").select("band", "blocks")
-    open_ = checkpoint(placed.join(mixed, "band").join(reps.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "comp", "block", "sig")
-    more = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep").mapInArrow(_block_pairs, "leader long, member long").distinct()
-    if open_.limit(1).count():
-        links = links.unionByName(checkpoint(confirmed(docs, checkpoint(more), width)))
-        comps = components(links)
+    clusters = components(met.select(F.col("leader").alias("u"), F.col("member").alias("v")))
+    clusters = clusters.unionByName(clusters.select(F.col("v").alias("u"), "v").distinct())
+    placed = clusters.join(comps.withColumnRenamed("v", "comp"), "u", "left").select(F.col("u").alias("rep"), F.col("v").alias("cluster"), F.coalesce("comp", "u").alias("comp"))
+    left = checkpoint(unsettled(placed))
+    if left.limit(1).count():
+        comps = components(links.unionByName(_sent(docs, left, width).mapInArrow(_compare_blocks, "u long, v long")))
 
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").join(comps.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
     linked = F.col("n_shingles") > 0
