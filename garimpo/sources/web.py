@@ -5,8 +5,8 @@ from __future__ import annotations
 import time
 import urllib.error
 import urllib.request
-import urllib.robotparser
 from collections.abc import Callable, Iterator
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,13 +97,13 @@ def robots_udf(agent: str = USER_AGENT):
 
     @F.pandas_udf("boolean")
     def allowed(text: pd.Series, path: pd.Series) -> pd.Series:
-        parsed: dict[str, urllib.robotparser.RobotFileParser] = {}
+        parsed: dict[str, RobotFileParser] = {}
 
         def one(t: str | None, p: str) -> bool:
             if not isinstance(t, str) or not t:
                 return True
             if t not in parsed:
-                parsed[t] = urllib.robotparser.RobotFileParser()
+                parsed[t] = RobotFileParser()
                 parsed[t].parse(t.splitlines())
             return parsed[t].can_fetch(agent, p or "/")
 
