@@ -11,11 +11,12 @@ reads in any order.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from garimpo.llm.common import checkpoint_dir, coded, ship, sliced
 MASK = 0xA282EAD8
 #: Records of a file at most.
 FILE_RECORDS = 20_000
-#: Distinct pieces of text whose ids a worker keeps; it begins anew where there are more.
-CACHE = 1_200_000
+#: Distinct pieces of text whose ids a worker keeps; beyond that it keeps those that came in two slices or more.
+CACHE = 600_000
 
 
 def masked(crc: int) -> int:
@@ -72,6 +73,12 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+#: Marks behind a word, which are a pre-token of their own; a piece that begins with white space, or is a line end before white space or another.
+_TAIL = re.compile(r"[^\w\s]+$")
+_WHITE = r"\t\f\r \p{Z}\x0B\x1C-\x1F\x{85}"
+_ODD = rf"^(\n([\n{_WHITE}]|$)|[{_WHITE}]|$)"
+
+
 class Encoder:
     """Ids by the tokenizers library, each distinct piece of text encoded once.
 
@@ -90,35 +97,56 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.model, self.chars = self.tok.model, _byte_chars()
+        self.newline, self.tails = self._word("\n") if self.cuts else [], {}
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.at, self.flat = array("q", [0]), array("I")
+        self.at, self.flat, self.seen = array("q", [0]), array("I"), array("I")
+
+    def _thin(self) -> None:
+        """Keep the pieces that came again; all go where most did."""
+        kept = [(p, self.flat[self.at[k] : self.at[k + 1]], self.seen[k]) for p, k in self.place.items() if self.seen[k] > 1]
+        self.clear()
+        for p, ids, seen in kept if len(kept) < CACHE // 2 else []:
+            self._add(p, ids, seen)
+
+    def _add(self, piece: str, ids: Iterable[int], seen: int = 0) -> None:
+        self.place[piece] = len(self.seen)
+        self.flat.extend(ids)
+        self.at.append(len(self.flat))
+        self.seen.append(seen)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]
+        if word.isascii() and word[1:].isalpha():
+            word = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            word = word.encode().decode("latin-1").translate(self.chars)
+        return [t.id for t in self.model.tokenize(word)]
 
     def _learn(self, pieces: list[str]) -> None:
-        found: list = [None] * len(pieces)
         hard = []
-        for i, p in enumerate(pieces):
-            if (p[1:] if p[:1] == " " else p).isalpha():
-                found[i] = self._word(p)
-            elif p[:1] == "\n" and p[1:].isalpha():
-                found[i] = self._word("\n") + self._word(p[1:])
+        for p in pieces:
+            bare = p[1:] if p[:1] in (" ", "\n") else p
+            if bare.isalpha():
+                tail = ""
+            elif (cut := _TAIL.search(bare)) and bare[: cut.start()].isalpha():
+                tail, bare = cut[0], bare[: cut.start()]
             else:
-                hard.append(i)
-        for i, ids in zip(hard, self._whole([pieces[i] for i in hard]), strict=True):
-            found[i] = ids
-        for p, ids in zip(pieces, found, strict=True):
-            self.place[p] = len(self.at) - 1
-            self.flat.extend(ids)
-            self.at.append(len(self.flat))
+                hard.append(p)
+                continue
+            ids = self.newline + self._word(bare) if p[0] == "\n" else self._word(p[: len(p) - len(tail)])
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self._word(tail)
+                ids = ids + self.tails[tail]
+            self._add(p, ids)
+        for p, ids in zip(hard, self._whole(hard), strict=True):
+            self._add(p, ids)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, none of which is NULL."""
@@ -130,15 +158,17 @@ class Encoder:
         names = distinct.to_pylist()
         code = codes.astype(np.int64)
         code[offsets[:-1]] += len(names)  # a text's first piece has no space before it
-        odd = np.array([not (p[1:] if p[:1] == "\n" else p) or (p[1:2] if p[0] == "\n" else p[0]).isspace() for p in names] + [False] * len(names), bool)
+        odd = np.concatenate([pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False).astype(bool), np.zeros(len(names), bool)])
         whole = np.flatnonzero(np.add.reduceat(odd[code], offsets[:-1]) > 0) if len(code) else np.empty(0, np.int64)
         used = np.unique(code)
         pieces = [names[c - len(names)] if c >= len(names) else names[c] if names[c][:1] == "\n" else " " + names[c] for c in used.tolist()]
         if len(self.place) + len(pieces) > CACHE:
-            self.clear()
+            self._thin()
         self._learn(list(dict.fromkeys(p for p in pieces if p not in self.place)))
         known = np.zeros(2 * len(names), np.int64)
         known[used] = [self.place[p] for p in pieces]
+        seen = np.frombuffer(self.seen, np.uint32)
+        seen[known[used]] += 1
         at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32)
         first = known[code]
         n = at[first + 1] - at[first]
@@ -146,7 +176,7 @@ class Encoder:
         ids = flat[np.repeat(at[first] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
         cut = np.concatenate(([0], end))[offsets]
         out = [ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
-        del at, flat
+        del at, flat, seen
         for i, x in zip(whole.tolist(), self._whole(texts.take(pa.array(whole)).to_pylist()), strict=True):
             out[i] = np.array(x, np.uint32)
         return out
@@ -172,7 +202,7 @@ def write_records(docs: DataFrame, path: str, vocabulary_path: str, end_id: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path)
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=4 << 20):
             ids = enc.encode(batch.column(1).fill_null(""))
             out = [frame(pack(d, np.append(x, np.uint32(end_id))))[:-1] for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
