@@ -33,10 +33,14 @@ def strip_accents(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(_c(text), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
+def is_word(word: Column) -> Column:
+    return (F.length(word) >= SHORTEST) & (F.length(word) <= LONGEST) & ~word.rlike(rf"^\p{{Nd}}{{{LONGEST_NUMBER + 1},}}$")
+
+
 def words(text: Column | str) -> Column:
     """Lower-case words of 2 to 40 characters, without numbers of more than 8 digits."""
     found = F.regexp_extract_all(F.lower(_c(text)), F.lit(f"({TOKEN_RE})"), F.lit(1))
-    return F.filter(found, lambda w: (F.length(w) >= SHORTEST) & (F.length(w) <= LONGEST) & ~w.rlike(rf"^\p{{Nd}}{{{LONGEST_NUMBER + 1},}}$"))
+    return F.filter(found, is_word)
 
 
 def stem(word: Column) -> Column:
