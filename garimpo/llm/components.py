@@ -34,7 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     Every step is an aggregate and a join on the vertex; only whether all are stars by now comes to the driver.
     Self-links, repeated links and an empty table are allowed; links with a NULL end are ignored.
     """
-    edges = checkpoint(links.where("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct())
+    # edges are 16 bytes: two partitions a core hold them, however many the shuffles have
+    parts = 2 * links.sparkSession.sparkContext.defaultParallelism
+    edges = checkpoint(links.where("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct().coalesce(parts))
     while not _stars(edges):
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges)).coalesce(parts))
     return edges
