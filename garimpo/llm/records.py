@@ -16,7 +16,8 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +109,15 @@ class Encoder:
         """Keep the pieces that came again; all go where most did."""
         kept = [(p, self.flat[self.at[k] : self.at[k + 1]], self.seen[k]) for p, k in self.place.items() if self.seen[k] > 1]
         self.clear()
-        for p, ids, seen in kept if len(kept) < CACHE // 2 else []:
-            self._add(p, ids, seen)
+        if kept and len(kept) < CACHE // 2:
+            self._store(*zip(*kept, strict=True))
 
-    def _add(self, piece: str, ids: Iterable[int], seen: int = 0) -> None:
-        self.place[piece] = len(self.seen)
-        self.flat.extend(ids)
-        self.at.append(len(self.flat))
-        self.seen.append(seen)
+    def _store(self, pieces: Sequence[str], rows: Sequence[Sequence[int]], seen: Sequence[int]) -> None:
+        begin, end = len(self.seen), len(self.flat)
+        self.place.update(zip(pieces, range(begin, begin + len(pieces)), strict=True))
+        self.flat.extend(chain.from_iterable(rows))
+        self.at.extend(list(accumulate(map(len, rows), initial=end))[1:])
+        self.seen.extend(seen)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,7 +131,7 @@ class Encoder:
         return [t.id for t in self.model.tokenize(word)]
 
     def _learn(self, pieces: list[str]) -> None:
-        hard = []
+        easy, rows, hard = [], [], []
         for p in pieces:
             bare = p[1:] if p[:1] in (" ", "\n") else p
             if bare.isalpha():
@@ -144,9 +146,9 @@ class Encoder:
                 if tail not in self.tails:
                     self.tails[tail] = self._word(tail)
                 ids = ids + self.tails[tail]
-            self._add(p, ids)
-        for p, ids in zip(hard, self._whole(hard), strict=True):
-            self._add(p, ids)
+            easy.append(p)
+            rows.append(ids)
+        self._store(easy + hard, rows + self._whole(hard), [0] * len(pieces))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, none of which is NULL."""
@@ -155,28 +157,39 @@ class Encoder:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         codes, distinct = coded(parts.flatten())
-        names = distinct.to_pylist()
-        code = codes.astype(np.int64)
-        code[offsets[:-1]] += len(names)  # a text's first piece has no space before it
-        odd = np.concatenate([pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False).astype(bool), np.zeros(len(names), bool)])
+        count = len(distinct)
+        code = codes.copy()
+        code[offsets[:-1]] += count  # a text's first piece has no space before it
+        odd = np.concatenate([pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False).astype(bool), np.zeros(count, bool)])
         whole = np.flatnonzero(np.add.reduceat(odd[code], offsets[:-1]) > 0) if len(code) else np.empty(0, np.int64)
-        used = np.unique(code)
-        pieces = [names[c - len(names)] if c >= len(names) else names[c] if names[c][:1] == "\n" else " " + names[c] for c in used.tolist()]
+        spaced = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(pa.scalar(" ", distinct.type), distinct, pa.scalar("", distinct.type)))
+        used = np.zeros(2 * count, bool)
+        used[code] = True
+        rest, first = np.flatnonzero(used[:count]), np.flatnonzero(used[count:])
+        pieces = spaced.take(pa.array(rest)).to_pylist() + distinct.take(pa.array(first)).to_pylist()
         if len(self.place) + len(pieces) > CACHE:
             self._thin()
-        self._learn(list(dict.fromkeys(p for p in pieces if p not in self.place)))
-        known = np.zeros(2 * len(names), np.int64)
-        known[used] = [self.place[p] for p in pieces]
+        get = self.place.get
+        places = np.array([get(p, -1) for p in pieces], np.int32)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            fresh = [pieces[i] for i in new.tolist()]
+            self._learn(fresh)
+            places[new] = [self.place[p] for p in fresh]
+        known = np.zeros(2 * count, np.int32)
+        known[np.concatenate([rest, first + count])] = places
         seen = np.frombuffer(self.seen, np.uint32)
-        seen[known[used]] += 1
+        seen[places] += 1
         at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32)
-        first = known[code]
-        n = at[first + 1] - at[first]
+        at32 = at.astype(np.int32)  # a worker keeps far fewer than 2^31 ids
+        place = known[code]
+        begin = at32[place]
+        n = at32[place + 1] - begin
         end = np.cumsum(n)
-        ids = flat[np.repeat(at[first] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        ids = flat[np.repeat(begin - (end - n).astype(np.int32), n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
         cut = np.concatenate(([0], end))[offsets]
         out = [ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
-        del at, flat, seen
+        del at, flat, seen, at32
         for i, x in zip(whole.tolist(), self._whole(texts.take(pa.array(whole)).to_pylist()), strict=True):
             out[i] = np.array(x, np.uint32)
         return out
@@ -202,7 +215,7 @@ def write_records(docs: DataFrame, path: str, vocabulary_path: str, end_id: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path)
-        for batch in sliced(batches, most=4 << 20):
+        for batch in sliced(batches):
             ids = enc.encode(batch.column(1).fill_null(""))
             out = [frame(pack(d, np.append(x, np.uint32(end_id))))[:-1] for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
