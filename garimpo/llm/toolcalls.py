@@ -60,21 +60,25 @@ def _record(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["error", "json"])
 
 
+def _parts(df: DataFrame) -> int:
+    """Edges are small rows: two partitions a core hold them, however many the shuffles have."""
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def levels(edges: DataFrame) -> DataFrame:
-    """id, level of each end of ``edges(id, needs)`` that lies on no cycle nor behind one: 0 without needs, else one more than the most of its needs.
+    """id, level of each end of the distinct ``edges(id, needs)`` that lies on no cycle nor behind one: 0 without needs, else one more than the most of its needs.
 
     One round for each level: the ends that the round before completed are joined with the edges, and the open needs counted down.
     """
-    edges = checkpoint(edges.distinct())
-    open_ = edges.groupBy("id").agg(F.count(F.lit(1)).alias("open"))
-    ready = checkpoint(edges.select(F.col("needs").alias("id")).distinct().join(open_, "id", "left_anti").withColumn("level", F.lit(0)))
+    parts = _parts(edges)
+    open_ = checkpoint(edges.groupBy("id").agg(F.count(F.lit(1)).alias("open")).coalesce(parts))
+    ready = checkpoint(edges.select(F.col("needs").alias("id")).distinct().join(open_, "id", "left_anti").withColumn("level", F.lit(0)).coalesce(parts))
     done, level = ready, 0
     while ready.limit(1).count():
         level += 1
         met = edges.join(ready.select(F.col("id").alias("needs")), "needs").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
-        open_ = checkpoint(open_.join(met, "id", "left").select("id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
-        ready = checkpoint(open_.where("open = 0").select("id", F.lit(level).alias("level")))
-        open_ = open_.where("open > 0")
+        state = checkpoint(open_.join(met, "id", "left").select("id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")).coalesce(parts))
+        ready, open_ = state.where("open = 0").select("id", F.lit(level).alias("level")), state.where("open > 0")
         done = done.unionByName(ready)
     return done
 
@@ -97,7 +101,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     needs = calls.where("call_id is not null").select("conv_id", "call_id", F.explode("needs").alias("n")).where("n is not null")
     ids = named.select(ident.alias("needs"))
     edges = needs.select(ident.alias("id"), F.to_json(F.struct("conv_id", F.col("n").alias("call_id"))).alias("needs")).join(ids, "needs", "left_semi").select("id", "needs")
-    edges = checkpoint(edges)
+    edges = checkpoint(edges.distinct().coalesce(_parts(edges)))
     level = levels(edges)
     bound = edges.select("id").union(edges.select("needs")).distinct().withColumn("bound", F.lit(True))
     joined = named.withColumn("known", F.lit(True)).alias("c").join(answered.alias("r"), F.expr("c.conv_id <=> r.conv_id AND c.call_id = r.call_id"), "full")
