@@ -86,8 +86,10 @@ def test_near_duplicates_brute_force(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_dense_group_keeps_every_link(spark):
-    """Variants that are chained: most pairs are no links, and leaders alone don't settle it."""
+def test_dense_group_keeps_every_link(spark, monkeypatch):
+    """Variants that are chained: most pairs are no links, and leaders alone don't settle it; dealt in several groups and blocks."""
+    monkeypatch.setattr(neardup, "GROUP", 32)
+    monkeypatch.setattr(neardup, "BLOCK", 40)
     rng = np.random.default_rng(0)
     base = prose(9, 60).split()
     rows = []
