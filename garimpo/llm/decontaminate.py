@@ -1,11 +1,11 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by containment: no window that has enough of a passage is left out.
 
 1. Benchmark texts are cut into passages; a term is a word in lower case without other characters than letters and
    digits, and has one of SLOTS slots by its hash. Document frequencies of the slots come from all documents.
-2. Randomised SVD of the passages' TF-IDF matrix: powers of X'X are applied to a random block, whose products with the
-   rows are summed by the executors, SLAB slots at a time; the driver holds SLOTS x (RANK + OVER) numbers at most.
-3. Windows of every document are projected and compared with the passages, a block of PASSAGES at a time, by cosine.
-4. Candidates are confirmed by the longest common subsequence of terms, weighted by squared idf: a leak if it has SHARE of the
+2. For every window of every document and each passage, PASSAGES at a time, a bound on the weight (squared idf) of the
+   passage's terms that the window has; pairs that may reach PARAPHRASE of the passage's weight are candidates. What
+   else stands in the window, and how many passages or copies there are, plays no part.
+3. Candidates are confirmed by the longest common subsequence of terms, weighted by squared idf: a leak if it has SHARE of the
    passage's weight, or PARAPHRASE of it while the item's answer (its last sentence) is there too.
 """
 
@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 from garimpo.llm.common import coded, mix64, rows_of, sliced, split_words, string_hash
 
 SLOT_BITS = 16
-SLOTS, SLAB = 1 << SLOT_BITS, 1024
-RANK, OVER, POWERS = 128, 16, 2
+SLOTS = 1 << SLOT_BITS
 PASSAGE, WINDOW, STRIDE = 64, 64, 16
 #: Passages that an executor holds at once; more are searched for in further passes.
 PASSAGES = 20_000
-COSINE, SHARE, PARAPHRASE, ANSWER = 0.3, 0.6, 0.4, 0.8
+SHARE, PARAPHRASE, ANSWER = 0.6, 0.4, 0.8
+#: Share of a passage's weight, that of its lightest terms, which the first bound takes as found anywhere.
+REST = 0.1
+#: Chunks x passages that are summed, and pairs that are confirmed, at once.
+CELLS, PAIRS = 1 << 18, 256
 
 
 def terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,60 +95,25 @@ def document_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[int, np.nd
     return int(found["df"][~each].sum()), df
 
 
-def _matrix(lists: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, slot and value of the passages' TF-IDF matrix, whose rows have length 1."""
+def postings(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each slot's postings begin; their passages and weights; the weight that each passage must have by them.
+
+    A passage is listed under its heaviest slots, until the others have REST of its weight: a text with PARAPHRASE of
+    the passage's weight has the rest of that by the listed ones.
+    """
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    s = slots(np.concatenate([np.asarray(x, np.int64) for x in lists]).view(np.uint64)) if len(row) else np.empty(0, np.int64)
-    key, tf = np.unique(row << SLOT_BITS | s, return_counts=True)
+    key, tf = np.unique(row << SLOT_BITS | slots(np.concatenate(lists)), return_counts=True)
     row, s = key >> SLOT_BITS, key & (SLOTS - 1)
-    value = tf * idf[s]
-    norm = np.sqrt(np.bincount(row, value * value, len(lists)))
-    return row, s, value / np.maximum(norm[row], 1e-12)
-
-
-def _columns(known: np.ndarray) -> np.ndarray:
-    """Number of each known slot among the known; of the others, the one after these."""
-    return np.where(known, np.cumsum(known) - 1, known.sum())
-
-
-def _times(found: DataFrame, q: np.ndarray, idf: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """X'X q, X being the passages' matrix with a column for each known slot: partial sums by partition, then by slab of columns."""
-    shared = found.sparkSession.sparkContext.broadcast((q, idf, _columns(known)))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, idf, column = shared.value
-        out = np.zeros((-(-len(block) // SLAB) * SLAB, block.shape[1]))
-        for batch in batches:
-            if batch.num_rows:
-                row, s, value = _matrix(batch.column(0).to_pylist(), idf)
-                s = column[s]
-                y = np.zeros((batch.num_rows, block.shape[1]))
-                np.add.at(y, row, value[:, None] * block[s])
-                np.add.at(out, s, value[:, None] * y[row])
-        slabs = out.reshape(len(out) // SLAB, -1)
-        some = np.flatnonzero(np.abs(slabs).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([slabs[i].tobytes() for i in some], pa.binary())], names=["slab", "sums"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slab": frame["slab"].iloc[:1], "sums": [np.sum([np.frombuffer(x) for x in frame["sums"]], axis=0).tobytes()]})
-
-    sums = found.select("terms").mapInArrow(part, "slab int, sums binary").groupBy("slab").applyInPandas(add, "slab int, sums binary").collect()
-    out = np.zeros((-(-len(q) // SLAB), SLAB * q.shape[1]))
-    for r in sums:
-        out[r["slab"]] = np.frombuffer(r["sums"])
-    return out.reshape(-1, q.shape[1])[: len(q)]
-
-
-def latent_space(found: DataFrame, idf: np.ndarray, known: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """The leading right singular vectors, a row for each known slot and one of zeros for the others."""
-    q = np.random.default_rng(seed).normal(size=(int(known.sum()), rank + OVER))
-    for _ in range(POWERS):
-        q = np.linalg.qr(_times(found, q, idf, known))[0]
-    small = q.T @ _times(found, q, idf, known)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(-values)[:rank]
-    space = (q @ vectors[:, best[values[best] > 1e-9]]).astype(np.float32)
-    return np.concatenate([space, np.zeros((1, space.shape[1]), np.float32)])
+    order = np.lexsort((-idf[s], row))
+    row, s, w = row[order], s[order], (tf * idf[s])[order]
+    mass = np.bincount(row, w, len(lists))
+    total = np.cumsum(w) - w
+    before = total - total[np.searchsorted(row, row)]
+    listed = before < (1 - REST) * mass[row]
+    need = PARAPHRASE * mass - (mass - np.bincount(row[listed], w[listed], len(lists)))
+    row, s, w = row[listed], s[listed], w[listed]
+    order = np.argsort(s, kind="stable")
+    return np.searchsorted(s[order], np.arange(SLOTS + 1)), row[order], w[order], need
 
 
 def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
@@ -157,58 +125,93 @@ def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
     return float(best[-1])
 
 
+def common_shares(lists: list[np.ndarray], texts: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """Of each pair of a sequence and a text, the common_weight as a share of the sequence's weight."""
+    n, m = max(map(len, lists)), max(map(len, texts))
+    a, w, b = np.zeros((len(lists), n), np.uint64), np.zeros((len(lists), n)), np.zeros((len(lists), m), np.uint64)
+    for i, (x, y, v) in enumerate(zip(lists, texts, weights, strict=True)):
+        a[i, : len(x)], w[i, : len(x)], b[i, : len(y)] = x, v, y
+    best = np.zeros((len(lists), m + 1))
+    for k in range(n):
+        best[:, 1:] = np.maximum(best[:, 1:], np.where(b == a[:, k, None], best[:, :-1] + w[:, k, None], 0))
+        np.maximum.accumulate(best, axis=1, out=best)
+    return best[:, -1] / w.sum(1)
+
+
+def cosine(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
+    """Cosine of the TF-IDF vectors of two sequences of terms."""
+    (x, n), (y, m) = (np.unique(slots(v[v > 0]), return_counts=True) for v in (a, b))
+    v, w = n * idf[x], m * idf[y]
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return float((v[i] * w[j]).sum() / max(np.sqrt((v * v).sum() * (w * w).sum()), 1e-12))
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, idf, column, points, items, lists, answers = shared.value
+        idf, (first, passage, weight, need), items, lists, answers = shared.value
         weigh = lambda h: np.where(h > 0, idf[slots(h)], 0.0)
-        masses = [weigh(x) for x in lists]
-        places, there = [slots(x) for x in lists], np.zeros(SLOTS, bool)
-        least = PARAPHRASE * min((m.sum() for m in masses), default=np.inf)
+        masses, places = [weigh(x) for x in lists], [slots(x) for x in lists]
+        there, count = np.zeros(SLOTS, bool), len(lists)
+
+        def confirm(pairs: np.ndarray, found: dict, s: np.ndarray, h: np.ndarray, offsets: np.ndarray, doc: np.ndarray, k: np.ndarray) -> None:
+            use = []
+            for i, j in pairs.tolist():
+                d = int(doc[i])
+                begin = offsets[d] + STRIDE * k[i]
+                b, e = max(offsets[d], begin - STRIDE), min(offsets[d + 1], begin + WINDOW + STRIDE)
+                if found.get((d, items[j]), (0.0, 0.0))[1] >= 0.999:
+                    continue
+                there[s[b:e]] = True
+                both = masses[j][there[places[j]]].sum()
+                there[s[b:e]] = False
+                if both >= PARAPHRASE * masses[j].sum() - 1e-9:
+                    use.append((d, j, b, e))
+            if not use:
+                return
+            shares = common_shares([lists[j] for _, j, _, _ in use], [h[b:e] for _, _, b, e in use], [masses[j] for _, j, _, _ in use])
+            for (d, j, b, e), share in zip(use, shares.tolist(), strict=True):
+                if share < PARAPHRASE or (share < SHARE and not len(answers[j])):
+                    continue
+                if share < SHARE:
+                    wide = h[max(offsets[d], b - WINDOW) : min(offsets[d + 1], e + WINDOW)]
+                    aw = weigh(answers[j])
+                    if not common_weight(answers[j], wide, aw) >= ANSWER * aw.sum() > 0:
+                        continue
+                old = found.get((d, items[j]), (0.0, 0.0))
+                found[d, items[j]] = max(old[0], cosine(h[b:e], lists[j], idf)), max(old[1], share)
         for batch in sliced(batches):
             offsets, h = terms(batch.column(1))
             s = slots(h)
-            c = column[s]
-            w = weigh(h)
-            total = np.concatenate(([0], np.cumsum(w)))
             size = np.diff(offsets)
+            # windows begin every STRIDE words and are searched with the STRIDE words on both sides: in whole chunks of STRIDE words
             per = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
             doc = np.repeat(np.arange(len(size)), per)
-            begin = offsets[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
-            end = np.minimum(begin + WINDOW, offsets[doc + 1])
-            heavy = np.flatnonzero(total[end] - total[begin] >= least - 1e-9)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+            chunks = -(-size // STRIDE)
+            base = np.cumsum(chunks) - chunks
+            lo, hi = base[doc] + np.maximum(k - 1, 0), base[doc] + np.minimum(k + WINDOW // STRIDE + 1, chunks[doc])
+            at = np.flatnonzero((h > 0) & (first[s + 1] > first[s]))
+            row = rows_of(offsets)[at]
+            seen = np.unique((base[row] + (at - offsets[row]) // STRIDE) << SLOT_BITS | s[at])
+            chunk, slot = seen >> SLOT_BITS, seen & (SLOTS - 1)
             found: dict[tuple[int, int], tuple[float, float]] = {}
-            for lo in range(0, len(heavy), 512):
-                pick = heavy[lo : lo + 512]
-                at = np.minimum(begin[pick][:, None] + np.arange(WINDOW), max(len(h) - 1, 0))
-                value = np.where(np.arange(WINDOW) < (end - begin)[pick][:, None], w[at], 0).astype(np.float32)
-                point = np.einsum("nw,nwk->nk", value, space[c[at]])
-                # by the length of the whole vector: what lies outside the space speaks against a match
-                point /= np.maximum(np.linalg.norm(value, axis=1, keepdims=True), 1e-12)
-                cosine = point @ points.T
-                for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    d = int(doc[pick[i]])
-                    if found.get((d, items[j]), (0.0, 0.0))[1] >= 0.999:
-                        continue
-                    b, e = max(offsets[d], begin[pick[i]] - STRIDE), min(offsets[d + 1], end[pick[i]] + STRIDE)
-                    own = h[b:e]
-                    mass = masses[j].sum()
-                    there[s[b:e]] = True
-                    both = masses[j][there[places[j]]].sum()
-                    there[s[b:e]] = False
-                    if mass <= 0 or both < PARAPHRASE * mass - 1e-9:
-                        continue
-                    share = common_weight(lists[j], own, masses[j]) / mass
-                    if share < SHARE and share >= PARAPHRASE and len(answers[j]):
-                        wide = h[max(offsets[d], b - WINDOW) : min(offsets[d + 1], e + WINDOW)]
-                        aw = weigh(answers[j])
-                        if not common_weight(answers[j], wide, aw) >= ANSWER * aw.sum() > 0:
-                            continue
-                    elif share < SHARE:
-                        continue
-                    old = found.get((d, items[j]), (0.0, 0.0))
-                    found[d, items[j]] = max(old[0], float(cosine[i, j])), max(old[1], share)
+            step = max(1, CELLS // count)
+            for v in range(0, len(doc), step):
+                low, high = lo[v : v + step], hi[v : v + step]
+                c0, c1 = low[0], high[-1]
+                mine = slice(*np.searchsorted(chunk, (c0, c1)))
+                begin = first[slot[mine]]
+                n = first[slot[mine] + 1] - begin
+                pick = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = np.repeat(chunk[mine] - c0, n) * count + passage[pick]
+                held = np.zeros((c1 - c0 + 1, count))
+                np.cumsum(np.bincount(cell, weight[pick], (c1 - c0) * count).reshape(-1, count), axis=0, out=held[1:])
+                # a slot in several chunks counts several times here, so this is never less than what the window has
+                pairs = np.argwhere(held[high - c0] - held[low - c0] >= need * (1 - 1e-6) - 1e-9)
+                for p in range(0, len(pairs), PAIRS):
+                    confirm(pairs[p : p + PAIRS] + (v, 0), found, s, h, offsets, doc, k)
             keys = sorted(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k[0] for k in keys], pa.int64())), pa.array([k[1] for k in keys], pa.int64()), pa.array([found[k][0] for k in keys], pa.float64()), pa.array([found[k][1] for k in keys], pa.float64())], names=["doc_id", "item_id", "cosine", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in keys], pa.int64())), pa.array([x[1] for x in keys], pa.int64()), pa.array([found[x][0] for x in keys], pa.float64()), pa.array([found[x][1] for x in keys], pa.float64())], names=["doc_id", "item_id", "cosine", "share"])
 
     return run
 
@@ -232,16 +235,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n, df = document_frequencies(docs, known)
     # squared, so that words that most texts have weigh next to nothing in vectors, masses and subsequences alike
     idf = np.where(known, np.log((n + 1) / (df + 1)) ** 2 + 1e-3, 0.0)
-    space, column = latent_space(found, idf, known), _columns(known)
     out = None
     for part in _blocks(found):
         lists = [np.array(r["terms"], np.int64).view(np.uint64) for r in part]
-        row, s, value = _matrix([x.view(np.int64) for x in lists], idf)
-        points = np.zeros((len(lists), space.shape[1]), np.float32)
-        np.add.at(points, row, (value[:, None] * space[column[s]]).astype(np.float32))
-        points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
         answers = [np.array(r["answer"], np.int64).view(np.uint64) for r in part]
-        shared = spark.sparkContext.broadcast((space, idf, column, points, [r["item_id"] for r in part], lists, answers))
+        shared = spark.sparkContext.broadcast((idf, postings(lists, idf), [r["item_id"] for r in part], lists, answers))
         one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, share double")
         out = one if out is None else out.unionByName(one)
     return empty if out is None else out

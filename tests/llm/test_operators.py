@@ -276,6 +276,26 @@ def test_decontamination(spark, docs, empty):
     assert not by_id(decontaminate.decontaminate(extra, bench.limit(0)))[100].contaminated
 
 
+def test_copies_of_many_passages_are_found(spark):
+    """Whole items in other texts of the same words: every one is found, and no text without an item is."""
+    rng = np.random.default_rng(21)
+    text = lambda n: " ".join(f"w{int(x)}" for x in 3000 * rng.random(n) ** 2)
+    items = [(k, text(int(rng.integers(15, 60)))) for k in range(1500)]
+    made = [(k, " ".join(text(90) + " " + t for _, t in items[5 * k : 5 * k + 5]) + " " + text(90)) for k in range(300)]
+    clean = [(1000 + k, text(500)) for k in range(200)]
+    ship(spark)
+    got = by_id(decontaminate.decontaminate(spark.createDataFrame(made + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    found = {(k, i) for k, r in got.items() for i in r.item_ids}
+    assert found == {(k // 5, k) for k in range(1500)}
+
+
+def test_common_shares():
+    rng = np.random.default_rng(7)
+    lists, texts = ([rng.integers(1, 6, int(n)).astype(np.uint64) for n in rng.integers(1, 12, 40)] for _ in range(2))
+    weights = [rng.random(len(x)) for x in lists]
+    assert decontaminate.common_shares(lists, texts, weights) == pytest.approx([decontaminate.common_weight(a, b, w) / w.sum() for a, b, w in zip(lists, texts, weights, strict=True)])
+
+
 def test_heaviest_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(50):
