@@ -289,6 +289,17 @@ def test_copies_of_many_passages_are_found(spark):
     assert found == {(k // 5, k) for k in range(1500)}
 
 
+def test_item_in_a_third_of_the_documents(spark):
+    """Its words weigh little then, and much less than the words around them."""
+    rng = np.random.default_rng(22)
+    text = lambda n: " ".join(f"w{int(x)}" for x in 3000 * rng.random(n) ** 2)
+    items = [(k, text(int(rng.integers(15, 60)))) for k in range(40)]
+    made = [(k, f"{text(120)} {items[0][1]} {text(120)}" if k % 3 == 0 else text(250)) for k in range(600)]
+    ship(spark)
+    got = by_id(decontaminate.decontaminate(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert {k: r.item_ids for k, r in got.items()} == {k: [0] if k % 3 == 0 else [] for k in range(600)}
+
+
 def test_common_shares():
     rng = np.random.default_rng(7)
     lists, texts = ([rng.integers(1, 6, int(n)).astype(np.uint64) for n in rng.integers(1, 12, 40)] for _ in range(2))
