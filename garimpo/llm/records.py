@@ -85,16 +85,16 @@ class Encoder:
 
     Under the byte-level pattern no pre-token goes on over a space that stands before another character than white
     space, nor over a line end between such characters. Texts are cut there, the pieces' ids are kept, and texts with
-    other white space are encoded whole.
+    other white space or with an added token, such as <|endoftext|>, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.model, self.chars = self.tok.model, _byte_chars()
@@ -161,7 +161,10 @@ class Encoder:
         code = codes.copy()
         code[offsets[:-1]] += count  # a text's first piece has no space before it
         odd = np.concatenate([pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False).astype(bool), np.zeros(count, bool)])
-        whole = np.flatnonzero(np.add.reduceat(odd[code], offsets[:-1]) > 0) if len(code) else np.empty(0, np.int64)
+        apart = np.add.reduceat(odd[code], offsets[:-1]) > 0 if len(code) else np.zeros(len(texts), bool)
+        for token in self.added:
+            apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
+        whole = np.flatnonzero(apart)
         spaced = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(pa.scalar(" ", distinct.type), distinct, pa.scalar("", distinct.type)))
         used = np.zeros(2 * count, bool)
         used[code] = True

@@ -201,6 +201,22 @@ def test_encoder_is_exact():
         assert [x.tolist() for x in enc.encode(pa.array(texts[i : i + 500]))] == enc._whole(texts[i : i + 500])
 
 
+def test_added_tokens_keep_their_ids(spark):
+    """As a fresh tokenizer gives them, in the encoder and in the records."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(records.vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "<|endoftext", "a b", "", "a <|endoftext|><|endoftext|>\n\nb"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    enc = records.Encoder(records.vocabulary())
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode(pa.array(texts))] == want
+    got = by_id(records.token_output(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[k].n_tokens for k in range(len(texts))] == [len(x) + 1 for x in want]
+    assert [got[k].ids_crc32 for k in range(len(texts))] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want]
+
+
 def code_length(counts, text):
     """Prediction by partial matching, byte by byte."""
     data = b"\n" * ppm.ORDER + text.lower().encode()
