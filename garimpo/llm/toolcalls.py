@@ -88,7 +88,8 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
 
     ``calls(conv_id, turn, call_id, tool, arguments, needs)`` with JSON text in arguments and an array of call_ids in
     needs; ``results(conv_id, call_id, content)``; ``tools(tool, schema)``. status: ``linked``, ``unanswered``,
-    ``orphan`` (a result without a call), ``unidentified`` (a call without call_id, which links with nothing). Of calls
+    ``orphan`` (a result without a call, or without call_id), ``unidentified`` (a call without call_id, which links with
+    nothing). Those without call_id have a row each. Of calls
     or results that share conv_id and call_id one row is made, of the smallest values. level counts the needs
     below a call in its conversation; needs that name no call are ignored; NULL on or behind a cycle. place numbers a
     conversation's calls by level, turn and call_id, NULL levels last. valid: the arguments are JSON that keeps to the
@@ -108,7 +109,8 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     rows = joined.select(F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), F.coalesce("c.call_id", "r.call_id").alias("call_id"), "turn", "tool", "arguments", "content", F.when(F.col("known").isNull(), "orphan").when(F.col("answer"), "linked").otherwise("unanswered").alias("status"))
     rows = rows.withColumn("id", ident).join(level, "id", "left").join(bound, "id", "left").withColumn("level", F.when(F.col("status") != "orphan", F.when(F.col("bound"), F.col("level")).otherwise(F.lit(0)))).drop("id", "bound")
     lost = calls.where("call_id is null").select("conv_id", "call_id", "turn", "tool", "arguments", F.lit(None).cast("string").alias("content"), F.lit("unidentified").alias("status"), F.lit(None).cast("int").alias("level"))
-    rows = rows.unionByName(lost).join(tools.groupBy("tool").agg(F.min("schema").alias("schema")), "tool", "left")
+    astray = results.where("call_id is null").select("conv_id", "call_id", *[F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in ("turn", "tool", "arguments")], "content", F.lit("orphan").alias("status"), F.lit(None).cast("int").alias("level"))
+    rows = rows.unionByName(lost).unionByName(astray).join(tools.groupBy("tool").agg(F.min("schema").alias("schema")), "tool", "left")
     w = Window.partitionBy("conv_id").orderBy(F.col("status").isin("orphan", "unidentified"), F.col("level").asc_nulls_last(), "turn", "call_id")
     made = rows.withColumn("place", F.row_number().over(w)).withColumn("record", F.pandas_udf(_record, "error string, json string")(F.struct("call_id", "tool", "arguments", "content", "schema")))
     return made.select("conv_id", "call_id", "level", "place", "status", F.when(F.col("status") != "orphan", F.col("record.error").isNull()).alias("valid"), F.when(F.col("status") != "orphan", F.col("record.error")).alias("error"), F.col("record.json").alias("json"))

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with awkward rows."""
 
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -349,6 +350,19 @@ def test_tool_calls(spark):
     assert got[1, "b"].error == "$.n: missing; $.q: not allowed; $.s: not in enum"
 
 
+def test_null_turns_have_their_rows(spark):
+    """A user's turn without number is a call without call_id, an assistant's a result without a call; each has a row."""
+    ship(spark)
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, None, "user", "lost"), (1, None, "assistant", "astray"), (1, None, "assistant", "astray"), (1, None, "assistant", None), (2, None, "assistant", "alone")]
+    rows = toolcalls.link(*toolcalls.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    got = Counter((r.conv_id, r.call_id, r.level, r.status, r.valid, json.loads(r.json)["result"]) for r in rows)
+    assert got == {
+        (1, "0", 0, "linked", True, "yes"): 1, (1, None, None, "unidentified", False, None): 1, (1, None, None, "orphan", None, "astray"): 2,
+        (1, None, None, "orphan", None, None): 1, (2, None, None, "orphan", None, "alone"): 1,
+    }
+    assert sorted(r.place for r in rows if r.conv_id == 1) == [1, 2, 3, 4, 5]
+
+
 def test_digests(docs):
     got = by_id(substring.dedup_substrings(docs).withColumn("d", F.sha2("kept_text", 256)))
     assert got[5].d == hashlib.sha256(b"").hexdigest()
