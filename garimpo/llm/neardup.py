@@ -134,12 +134,15 @@ def _links(us: list, vs: list) -> pa.RecordBatch:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of leader, salt, role: the leader's set, then those that are compared with it."""
-    place, lead, us, vs = None, None, [], []
+    """Rows come in order of leader, salt, role: the leader's sets (several if its doc_id is on several rows), then those that are compared with them."""
+    place, leads, us, vs = None, [], [], []
     for leader, salt, role, _, doc, own in _sets(batches):
         if role == 0:
-            place, lead = (leader, salt), own.copy()
-        elif place == (leader, salt) and similar(own, lead):
+            if place != (leader, salt):
+                place, leads = (leader, salt), []
+            if not any(np.array_equal(own, x) for x in leads):
+                leads.append(own.copy())
+        elif place == (leader, salt) and any(similar(own, x) for x in leads):
             us.append(doc)
             vs.append(leader)
         if len(us) >= 10_000:

@@ -117,6 +117,17 @@ def test_dense_group_keeps_every_link(spark, monkeypatch):
     assert len({find(k) for k in sets}) > 1
 
 
+def test_leader_with_two_texts(spark):
+    """A doc_id on two rows: its near-copy is found, whichever of the two texts it is like."""
+    ship(spark)
+    rows = []
+    for k in range(0, 20, 2):
+        texts = [prose(200 + k, 120), prose(201 + k, 120)]
+        rows += [(k, texts[0]), (k, texts[1]), (k + 1, texts[k // 2 % 2] + " tail")]
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: (r.component_id, r.kept) for k, r in got.items()} == {k: (k - k % 2, k % 2 == 0) for k in range(20)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 52), (52, 51), (7, 7), (60, 60), (50, 52)]
     got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
