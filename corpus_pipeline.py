@@ -17,7 +17,9 @@ from garimpo.llm.common import checkpoint_dir, ship, without
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     ship(spark)
-    return repetition.repetition(docs).where("kept").select(*docs.columns)
+    # repetition() leaves out columns with its figures' names: all but the text go by its place, and back by their names
+    places = [f"garimpo_{k}" if c != "text" else c for k, c in enumerate(docs.columns)]
+    return repetition.repetition(docs.toDF(*places)).where("kept").select(*places).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

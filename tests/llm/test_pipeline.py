@@ -61,3 +61,10 @@ def test_mix_and_records(spark, stages):
         ids = [*enc.tok.encode(d.text, add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_columns_named_like_figures_keep_their_values(spark, sf):
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(60)), -1, False), (1, "short", -2, True)], "doc_id long, text string, n_words int, kept boolean")
+    out = corpus_pipeline.quality_rules(spark, docs, sf)
+    assert out.schema == docs.schema
+    assert [(r.doc_id, r.n_words, r.kept) for r in out.collect()] == [(0, -1, False)]
