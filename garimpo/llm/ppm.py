@@ -3,7 +3,8 @@
 Each language has a context tree over bytes: for every context of up to ORDER bytes the counts of the bytes that
 followed it. A byte costs -log2 of its probability in the longest context that has seen it, plus the escapes on the
 way down (escape method C: distinct followers / (count + distinct followers)); below order 0 all 256 bytes are alike.
-The statistics are frozen while a text is scored, so its code length is a plain sum and can be read from a table.
+The statistics are frozen while a text is scored, so its code length is a plain sum and can be read from a table, or
+from sorted lists where the table would be too large.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from garimpo.llm.common import crc_mod, sliced
 
 ORDER = 3
-#: The trees are learned from this many documents of each language at most: of each of SALTS classes of ids' hashes an
-#: equal number, those whose id has the smallest hash.
+#: The trees are learned from this many documents of each language at most, those whose id has the smallest hash; they
+#: are chosen among as many of each of SALTS classes of hashes.
 DOCS_PER_LANG, SALTS = 448, 64
-#: Contexts x symbols x languages in the table of costs; the rarest contexts go first where there are more.
+#: Contexts x symbols x languages in a table of costs. Larger statistics are kept as sorted lists, which take longer to
+#: search and give the same code lengths.
 MAX_CELLS = 32 << 20
 #: Positions that are scored at once.
 BLOCK = 1 << 20
@@ -69,46 +71,72 @@ class Trees:
         self.key, self.langs = uuid.uuid4().hex, langs
         self.lang, self.gram, self.n = lang.astype(np.int16), gram.astype(np.uint32), n.astype(np.int64)
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
         """Symbol of each byte; row of each context; costs by row * symbols + symbol, a column for each language; symbols.
 
-        Symbol 0 stands for all bytes that no language has seen: they cost alike and no context has them.
+        Symbol 0 stands for all bytes that no language has seen: they cost alike and no context has them. None if the
+        table would have more than MAX_CELLS cells.
         """
         seen = np.unique(np.concatenate([self.gram & np.uint32(255), np.frombuffer(_PAD[:1], np.uint8).astype(np.uint32)]))
+        a, count = len(seen) + 1, len(self.langs)
+        contexts = sum(len(np.unique(self.gram >> np.uint32(8) & np.uint32((1 << 8 * k) - 1))) for k in range(ORDER + 1))
+        if max((contexts + 1) * a * count, a**ORDER) > MAX_CELLS:
+            return None
         symbol = np.zeros(256, np.int64)
         symbol[seen] = np.arange(1, len(seen) + 1)
-        a, count = len(seen) + 1, len(self.langs)
         parts = [symbol[(self.gram >> np.uint32(8 * j)) & np.uint32(255)] for j in range(ORDER, -1, -1)]  # oldest first
-        rows_most = max(a * a + 1, MAX_CELLS // (a * max(count, 1)))
         lower = np.full((1, a, count), np.log2(256.0))  # costs by context of the order before
         index = np.zeros(1, np.int64)  # row of each context of the order before, by its number
         for order in range(ORDER + 1):
             ctx = np.zeros(len(self.gram), np.int64)
             for p in parts[ORDER - order : ORDER]:
                 ctx = ctx * a + p
-            known, inverse = np.unique(ctx, return_inverse=True)
-            weight = np.bincount(inverse, self.n, len(known))
-            if len(known) + len(lower) > rows_most:
-                keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, rows_most - len(lower))])
-            else:
-                keep = np.arange(len(known))
-            place = np.full(len(known), -1)
-            place[keep] = np.arange(len(keep))
-            row = place[inverse]
-            use = row >= 0
-            freq = np.zeros((len(keep), a, count))
-            np.add.at(freq, (row[use], parts[ORDER][use], self.lang[use]), self.n[use])
+            known, row = np.unique(ctx, return_inverse=True)
+            freq = np.zeros((len(known), a, count))
+            np.add.at(freq, (row, parts[ORDER], self.lang), self.n)
             total, kinds = freq.sum(1, keepdims=True), (freq > 0).sum(1, keepdims=True)
-            suffix = index[known[keep] % a ** max(order - 1, 0)] if order else np.zeros(len(keep), np.int64)
+            suffix = index[known % a ** max(order - 1, 0)] if order else np.zeros(len(known), np.int64)
             below = lower[suffix]
             with np.errstate(divide="ignore", invalid="ignore"):
                 cost = np.where(freq > 0, np.log2((total + kinds) / freq), np.where(kinds > 0, np.log2((total + kinds) / kinds), 0) + below)
-            # contexts that are not held keep the row of their longest held suffix
+            # contexts that no language has seen have the row of their longest seen suffix
             grown = np.tile(index, a) if order else np.zeros(1, np.int64)
-            grown[known[keep]] = len(lower) + np.arange(len(keep))
+            grown[known] = len(lower) + np.arange(len(known))
             lower, index = np.concatenate([lower, cost]), grown
         return symbol, index, np.ascontiguousarray(lower.reshape(-1, count).astype(np.float32)), a
 
+    def lists(self, lang: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each order, from the longest: seen context-byte pairs with their costs, and seen contexts with their escapes', ascending."""
+        mine = self.lang == lang
+        out = []
+        for order in range(ORDER, -1, -1):
+            pairs, back = np.unique(self.gram[mine] & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            freq = np.bincount(back, self.n[mine], len(pairs))
+            contexts, back = np.unique(pairs >> np.uint32(8), return_inverse=True)
+            kinds = np.bincount(back, minlength=len(contexts))
+            whole = np.bincount(back, freq, len(contexts)) + kinds
+            out.append((pairs, np.log2(whole[back] / freq), contexts, np.log2(whole / kinds)))
+        return out
+
+
+def listed_costs(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], grams: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each gram."""
+
+    def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        there = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        return there, np.where(there, values[at], 0.0) if len(keys) else np.zeros(len(wanted))
+
+    out, left = np.zeros(len(grams)), np.arange(len(grams))
+    for order, (pairs, cost, contexts, escape) in zip(range(ORDER, -1, -1), lists, strict=True):
+        g = grams[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+        seen, bits = find(pairs, cost, g)
+        out[left] += bits
+        left, g = left[~seen], g[~seen]
+        out[left] += find(contexts, escape, g >> np.uint32(8))[1]
+    out[left] += 8
+    return out
+
 
 _TABLES: dict[str, tuple] = {}
 
@@ -117,31 +145,40 @@ def code_lengths(trees: Trees, text: pa.Array) -> np.ndarray:
     """Bits that each language needs for each whole text."""
     if trees.key not in _TABLES:
         _TABLES.clear()
-        _TABLES[trees.key] = trees.table()
-    symbol, index, cost, a = _TABLES[trees.key]
+        _TABLES[trees.key] = trees.table(), None
+        if _TABLES[trees.key][0] is None:
+            _TABLES[trees.key] = None, [trees.lists(k) for k in range(len(trees.langs))]
+    table, lists = _TABLES[trees.key]
     data, begin = _bytes(text)
     out = np.zeros((len(text), len(trees.langs)))
     for lo in range(ORDER, len(data), BLOCK):
         hi = min(lo + BLOCK, len(data))
-        s = symbol[data[lo - ORDER : hi]]
-        ctx = np.zeros(hi - lo, np.int64)
-        for j in range(ORDER):
-            ctx = ctx * a + s[j : hi - lo + j]
         total = np.zeros((hi - lo + 1, len(trees.langs)))
-        np.cumsum(cost[index[ctx] * a + s[ORDER:]], axis=0, dtype=np.float64, out=total[1:])
+        if table:
+            symbol, index, cost, a = table
+            s = symbol[data[lo - ORDER : hi]]
+            ctx = np.zeros(hi - lo, np.int64)
+            for j in range(ORDER):
+                ctx = ctx * a + s[j : hi - lo + j]
+            np.cumsum(cost[index[ctx] * a + s[ORDER:]], axis=0, dtype=np.float64, out=total[1:])
+        else:
+            grams = _grams(data[lo - ORDER : hi])
+            for k, x in enumerate(lists):
+                np.cumsum(listed_costs(x, grams), out=total[1:, k])
         docs = np.arange(np.searchsorted(begin, lo, "right") - 1, np.searchsorted(begin, hi, "left"))
         out[docs] += total[np.clip(begin[docs + 1], lo, hi) - lo] - total[np.clip(begin[docs] + ORDER, lo, hi) - lo]
     return out
 
 
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Trees:
-    """Trees from the rows of ``docs(doc_id, text, lang)`` whose lang and text aren't NULL."""
-    w = Window.partitionBy("lang", "salt").orderBy("hash", "doc_id")
+    """Trees from the rows of ``docs(doc_id, text, lang)`` whose lang and text aren't NULL; of rows that repeat a doc_id in a language, the smallest text."""
     use = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    hashed = use.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("salt", F.pmod("hash", F.lit(SALTS)))
-    chosen = hashed.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(1, docs_per_lang // SALTS)).select("doc_id", "lang").distinct()
-    # about docs_per_lang ids a language: small enough to send to every executor
-    sample = use.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    hashed = use.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).distinct().withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+    # the first of each class first, so that no task ranks all documents of a language
+    for w in (Window.partitionBy("lang", "salt"), Window.partitionBy("lang")):
+        hashed = hashed.withColumn("rn", F.row_number().over(w.orderBy("hash", "doc_id"))).where(F.col("rn") <= docs_per_lang)
+    # docs_per_lang ids a language at most: small enough to send to every executor
+    sample = use.join(F.broadcast(hashed.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     found = sample.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     return Trees(langs, found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int16), found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
@@ -178,6 +215,11 @@ def identify(docs: DataFrame, trees: Trees, key: list[str] | None = None) -> Dat
 
 
 def language_id(docs: DataFrame, held_out_mod: int = 3, held_out: int = 1) -> DataFrame:
-    """Learn from the documents that aren't held out and predict all: doc_id, held_out, lang_pred, score, bits."""
+    """Learn from the documents that aren't held out and predict all: doc_id, held_out, lang_pred, score, bits.
+
+    A row for each row of ``docs``, repeated ones included. NULL texts and those without a letter are ``und``, and so is
+    every text if nothing was learned; an empty table gives no row; of equal code lengths the smallest language by code
+    point wins; extra columns are ignored.
+    """
     out = crc_mod("doc_id", held_out_mod) == held_out
     return identify(docs.select("doc_id", "text", out.alias("held_out")), learn(docs.where(~out)), ["doc_id", "held_out"])
