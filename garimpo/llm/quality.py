@@ -78,27 +78,36 @@ def follow(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPO
     return w[:-1].astype(np.float32), float(w[-1])
 
 
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, quality and the features of each labelled text."""
+    for batch in sliced(batches):
+        row, slot, value = features(batch.column(2))
+        cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cut, pa.array(slot, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(value))], names=["place", "quality", "slots", "values"])
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All examples meet in one task: there are TRAIN_DOCS at most."""
+    """All examples meet in one task: there are TRAIN_DOCS at most, each with 2^BITS features at most."""
     found = []
-    for batch in sliced(batches):
-        row, slot, value = features(batch.column(batch.schema.get_field_index("text")))
-        cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        order = batch.column(batch.schema.get_field_index("place")).to_pylist()
-        labels = batch.column(batch.schema.get_field_index("quality")).to_pylist()
-        found += [(order[i], slot[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], labels[i]) for i in range(batch.num_rows)]
-    found.sort(key=lambda x: (x[0], x[3], len(x[1]), x[1].tobytes()))
+    for batch in batches:
+        at, slot, value = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy().astype(np.int64), batch.column(3).values.to_numpy()
+        found += [(place, slot[at[i] : at[i + 1]], value[at[i] : at[i + 1]], label) for i, (place, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))]
+    found.sort(key=lambda x: x[0])
     w, bias = follow([x[1:] for x in found])
     yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
-    """Weights and bias from documents with a label of 0 or 1; without any, all scores are 0.5."""
+    """Weights and bias from documents with a label of 0 or 1; without any, all scores are 0.5.
+
+    Of several labels or texts of one doc_id the smallest counts. Features are made where the texts are; only the
+    sample's features go to the one task that learns.
+    """
     named = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = named.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
     # at most ``most`` ids: small enough to send to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "text", "quality")
-    found = rows.coalesce(1).mapInArrow(_train, "w binary, bias double").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("place", "quality").agg(F.min("text").alias("text"))
+    found = rows.mapInArrow(_examples, "place long, quality int, slots array<int>, values array<double>").repartition(1).mapInArrow(_train, "w binary, bias double").collect()
     return (np.frombuffer(found[0]["w"], np.float32), found[0]["bias"]) if found else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
@@ -120,7 +129,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: list[str] | Non
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """Learn from the labels of documents that aren't held out and score all: doc_id, held_out, score, predicted."""
+    """Learn from the labels of documents that aren't held out and score all: doc_id, held_out, score, predicted.
+
+    A row for each row of ``docs``, repeated ones included. NULL and empty texts have the bias's score; an empty table
+    gives no row; without labels each score is 0.5. Extra columns of either table are ignored.
+    """
     out = crc_mod("doc_id", held_out_mod) == held_out
     found = score(docs.select("doc_id", "text", out.alias("held_out")), learn(docs.where(~out), labels), ["doc_id", "held_out"])
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
