@@ -44,37 +44,52 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / F.lit(1048576.0)
 
 
-def copies(docs: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """All columns of ``docs`` with size, source_size, target, copies and taken.
-
-    size is the number of words (NULL: 0). Each document expects target / source_size copies; it is emitted once for
-    each integer that the prefix sum of expected copies, moved by the source's offset, crosses. Documents of one size
-    follow in order of doc_id's remainder and doc_id (NULL first); of rows that repeat a doc_id too, which one gets a
-    copy is open. A source without words has target 0. Names of extra columns may be any but these five and those that
-    begin with ``mix_``.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
-    sized = docs.withColumn("size", size).withColumn("mix_bucket", F.coalesce(F.pmod(F.col("doc_id"), F.lit(BUCKETS)), F.lit(-1)).cast("int"))
-    groups = sized.groupBy("source", "size", "mix_bucket").agg(F.count(F.lit(1)).alias("n"))
+def _sampled(docs: DataFrame, seed: str, weights: tuple, share: float, most: int) -> DataFrame:
+    """``docs`` with its columns by their places, mix_0 and so on, so that no name clashes; behind them size, source_size, target, copies and taken."""
+    places = [f"mix_{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, places, strict=True))
+    ident, text = F.col(at["doc_id"]), F.col(at["text"])
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
+    digest = F.md5(F.coalesce(ident.cast("string"), text, F.lit("")).cast("binary"))
+    bucket = (F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % BUCKETS).alias("bucket")
+    sized = docs.toDF(*places).select("*", F.col(at["source"]).alias("source"), size.alias("size"), bucket)
+    groups = sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_size = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
     aims = targets(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
     smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("source", "size").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     by_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"))
-    base = groups.select("source", "size", "mix_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("left"))
+    base = groups.select("source", "size", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("left"))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    base = base.alias("a").join(by_size.alias("b"), same & (F.col("a.size") == F.col("b.size"))).select("a.source", "a.size", "mix_bucket", (F.col("left") + F.col("below")).alias("mix_base"))
-    base = base.alias("a").join(aims.alias("b"), same).select(F.col("a.source").alias("mix_source"), F.col("a.size").alias("mix_size"), F.col("mix_bucket").alias("mix_b"), "mix_base", "source_size", "target")
-    ranked = sized.withColumn("mix_rn", F.row_number().over(Window.partitionBy("source", "size", "mix_bucket").orderBy("doc_id")))
-    on = F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("size") == F.col("mix_size")) & (F.col("mix_bucket") == F.col("mix_b"))
-    joined = ranked.join(base, on)
-    rank = (F.col("mix_base") + F.col("mix_rn")).cast("double")
+    base = base.alias("a").join(by_size.alias("b"), same & (F.col("a.size") == F.col("b.size"))).select("a.source", "a.size", "bucket", (F.col("left") + F.col("below")).alias("base"))
+    base = base.alias("a").join(aims.alias("b"), same).select(F.col("a.source").alias("of_source"), F.col("a.size").alias("of_size"), F.col("bucket").alias("of_bucket"), "base", "source_size", "target")
+    ranked = sized.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(ident)))
+    on = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")) & (F.col("bucket") == F.col("of_bucket"))
+    rank = (F.col("base") + F.col("nth")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
-    found = joined.withColumn("copies", (F.floor(rank * rate + u) - F.floor((rank - 1.0) * rate + u)).cast("long"))
-    return found.withColumn("taken", F.col("copies") * F.col("size")).drop("mix_bucket", "mix_rn", "mix_source", "mix_size", "mix_b", "mix_base")
+    found = ranked.join(base, on).withColumn("copies", (F.floor(rank * rate + u) - F.floor((rank - 1.0) * rate + u)).cast("long"))
+    return found.select(*places, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+FIGURES = ("size", "source_size", "target", "copies", "taken")
+
+
+def copies(docs: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """All columns of ``docs`` with size, source_size, target, copies and taken.
+
+    size is the number of words (NULL: 0). Each document expects target / source_size copies; it is emitted once for
+    each integer that the prefix sum of expected copies, moved by the source's offset, crosses. Documents of one size
+    follow in order of a digest of the doc_id (of the text, where there is none) and of doc_id; of rows that repeat a
+    doc_id, which one gets a copy is open. A source without words has target 0; an empty table gives no row. Extra
+    columns may have any name; those named like a figure are left out.
+    """
+    found = _sampled(docs, seed, weights, share, most)
+    return found.select(*[F.col(f"mix_{k}").alias(c) for k, c in enumerate(docs.columns) if c not in FIGURES], *FIGURES)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    return copies(docs, **options).where("copies > 0").withColumn("mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+def mix(docs: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: the columns of ``docs``, whatever their names, each row as often as it is taken."""
+    found = _sampled(docs, seed, weights, share, most).where("copies > 0")
+    places = [f"mix_{k}" for k in range(len(docs.columns))]
+    return found.select(*places, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth")).select(*places).toDF(*docs.columns)

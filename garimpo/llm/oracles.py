@@ -71,7 +71,7 @@ FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 def _mixing() -> str:
     names = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS))
     return f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, coalesce(((doc_id % {BUCKETS}) + {BUCKETS}) % {BUCKETS}, -1) AS b FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 4))::BIGINT % {BUCKETS} AS b FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(WEIGHTS)} {names} END AS weight, {MOST} * source_size AS most FROM s0),
 s2 AS (SELECT *, row_number() OVER w AS k, ({SHARE}::DOUBLE * (sum(source_size) OVER ())::DOUBLE
