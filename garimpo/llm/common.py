@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than these six ASCII white-space characters.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-#: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that a Python worker handles at once, and that a batch sent to it has at most, but for single texts.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -32,6 +32,7 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts are large rows
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +41,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set (tests)."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where none is named, a local master gets one in the working folder; a cluster has none that its executors share,
+    so that there is an error.
+    """
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="garimpo-checkpoint-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = str(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).parent / "garimpo-checkpoints")
+    context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -114,6 +129,16 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             piece = batch.slice(begin, end - begin)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in piece.columns], schema=piece.schema)
             begin, before = end, int(size[end - 1])
+    release()
+
+
+def release() -> None:
+    """Give what this worker no longer uses back to the system: workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def rows_of(offsets: np.ndarray) -> np.ndarray:
@@ -127,44 +152,54 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-#: Bits of a bitmap: fixed, whatever the input; a fuller bitmap lets more rows through, never fewer.
-BITMAP_BITS = 1 << 22
-
-
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+#: Bits of a bitmap at least and at most, and for each key: what is broadcast has at most BITS_MOST / 64 rows of 16
+#: bytes, whatever the input; a fuller bitmap lets more rows through, never fewer.
+BITS_LEAST, BITS_MOST, BITS_EACH = 1 << 16, 1 << 26, 16
 
 
 class Bitmap:
-    """A superset test of a key's values in a fixed number of bits (512 kB), to keep rows that can't match out of a shuffle.
+    """A superset test of a key's values in a bounded number of bits, to keep rows that can't match out of a shuffle.
 
-    It is built by the executors, 64 bits a row, and has at most BITMAP_BITS / 64 rows on the driver.
+    The executors build it, 64 bits a row, and it is joined by the number of these rows as a broadcast table.
     """
 
     def __init__(self, keys: DataFrame, key: str):
-        slot = _slot(F.col(key))
-        words = keys.select((slot / 64).cast("long").alias("w"), F.expr("1L").alias("one"), F.pmod(slot, F.lit(64)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(one, b))").alias("bits"))
-        bits = np.zeros(BITMAP_BITS // 64, np.int64)
-        found = words.toPandas()
-        bits[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-        self.shared = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-
-    def column(self, key: str) -> Column:
-        shared = self.shared
-
-        @F.pandas_udf("boolean")
-        def held(slot: pd.Series) -> pd.Series:
-            s = slot.to_numpy(np.int64)
-            return pd.Series((shared.value[s // 64] >> (s % 64).astype(np.uint64)) & np.uint64(1) == 1)
-
-        return held(_slot(F.col(key)))
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``ids(doc_id)``; only rows that may be in it are shuffled."""
-    ids = checkpoint(ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    maybe = Bitmap(ids, "doc_id")
-    held = maybe.column("doc_id")
-    gone = ids.withColumnRenamed("doc_id", "garimpo_gone")
-    left = docs.where(held).join(gone, F.col("doc_id") == F.col("garimpo_gone"), "left_anti")
-    return docs.where(~held).unionByName(left)
+        self.size = min(BITS_MOST, max(BITS_LEAST, 1 << (BITS_EACH * keys.count()).bit_length()))
+        word, bit = self._place(F.col(key))
+        self.words = keys.select(word.alias("garimpo_word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("garimpo_word").agg(F.expr("bit_or(shiftleft(one, bit))").alias("garimpo_bits"))
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        slot = F.pmod(F.xxhash64(key), F.lit(self.size))
+        return F.shiftright(slot, 6), (slot % 64).cast("int")
+
+    def mark(self, df: DataFrame, key: str, name: str = "garimpo_maybe") -> DataFrame:
+        """``df`` with a boolean column that is true for all rows whose key is held, and for few others."""
+        word, bit = self._place(F.col(key))
+        met = df.join(F.broadcast(self.words), word == F.col("garimpo_word"), "left")
+        return met.withColumn(name, F.coalesce(F.getbit("garimpo_bits", bit) == 1, F.lit(False))).drop("garimpo_word", "garimpo_bits")
+
+    def some(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows of ``df`` that may be held."""
+        word, bit = self._place(F.col(key))
+        return df.join(F.broadcast(self.words), (word == F.col("garimpo_word")) & (F.getbit("garimpo_bits", bit) == 1)).drop("garimpo_word", "garimpo_bits")
+
+
+def with_keys(docs: DataFrame, name: str = "garimpo_key") -> DataFrame:
+    """``docs`` with a number for each row that no other row has: doc_id itself, where every row has one of its own.
+
+    Where doc_ids are missing or repeated, the rows' numbers follow doc_id (NULL last) and text, in a checkpoint.
+    """
+    ident = F.col("doc_id").cast("long")
+    ids = docs.groupBy(ident.alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if not ids.where("n > 1 or id is null").limit(1).count():
+        return docs.withColumn(name, ident)
+    order = [ident.asc_nulls_last(), F.col("text").asc_nulls_last()]
+    return checkpoint(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key isn't in ``ids(doc_id)``; only rows that may be in it are shuffled. Rows without key stay."""
+    gone = checkpoint(ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("garimpo_gone")).distinct())
+    marked = Bitmap(gone, "garimpo_gone").mark(docs.withColumn("garimpo_id", F.col(key).cast("long")), "garimpo_id")
+    left = marked.where("garimpo_maybe").join(gone, F.col("garimpo_id") == F.col("garimpo_gone"), "left_anti")
+    return marked.where("not garimpo_maybe").unionByName(left).drop("garimpo_id", "garimpo_maybe")

@@ -68,12 +68,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = use.mapInArrow(_windows, "doc_id long, th long, line int, again boolean, k1 long, k2 long")
-    firsts = found.where("doc_id is not null and not again").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    firsts = found.where("doc_id is not null and not again").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    firsts = checkpoint(firsts)  # a join of two plain shuffles is one that Spark splits where a window is hot
     across = found.where("doc_id is not null and not again").join(firsts, ["k1", "k2"]).where("doc_id > first_doc")
     late = found.where("again").select("doc_id", "th", "line").unionByName(across.select("doc_id", "th", "line"))
     begins = checkpoint(late.groupBy("doc_id", "th").agg(F.collect_set("line").alias("begins")))
-    maybe = Bitmap(begins, "th")
-    held = use.withColumn("maybe", maybe.column("th"))
+    held = Bitmap(begins, "th").mark(use, "th", "maybe")
     schema = "doc_id long, n_lines long, n_removed long, kept_text string"
     rest = held.where("not maybe").select("doc_id", "text").mapInArrow(_keep, schema)
     met = held.where("maybe").alias("d").join(begins.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.th = b.th"), "left").select("d.doc_id", "text", "begins").mapInArrow(_keep, schema)

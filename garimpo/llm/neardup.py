@@ -188,8 +188,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _sent(docs: DataFrame, sends: DataFrame, width: int) -> DataFrame:
     """The sets of the documents of sends(doc_id, leader, salt, role, comp), dealt by leader and salt, in order of role."""
     sends = checkpoint(sends.groupBy("doc_id").agg(F.collect_list(F.struct("leader", "salt", "role", "comp")).alias("sends")))
-    maybe = Bitmap(sends, "doc_id")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe.column("doc_id")).join(sends, "doc_id").select("doc_id", "text", "sends")
+    sets = Bitmap(sends, "doc_id").some(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").join(sends, "doc_id").select("doc_id", "text", "sends")
     sent = sets.mapInArrow(_send_sets(width), "leader long, salt long, role int, comp long, doc_id long, grams array<long>")
     return sent.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role", "doc_id")
 
@@ -239,9 +238,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
     signed = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(width), schema))
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    buckets = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader")
+    # what stands on a join's other side is written first: joins of two plain shuffles are those that Spark splits where a key is hot
+    classes = checkpoint(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"))
+    placed = usable.join(classes, ["set_a", "set_b"], "left").where("rep is null or rep = doc_id")
+    buckets = placed.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    shared = checkpoint(buckets.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader"))
     met = checkpoint(buckets.join(shared, "band").where("rep != leader").select("leader", F.col("rep").alias("member")).distinct())
 
     links = checkpoint(confirmed(docs, met, width))
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if left.limit(1).count():
         comps = components(links.unionByName(_sent(docs, left, width).mapInArrow(_compare_blocks, "u long, v long")))
 
-    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").join(comps.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
+    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(comps.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
     linked = F.col("n_shingles") > 0
     own = F.when(linked & F.col("doc_id").isNotNull(), F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -11,7 +11,6 @@ reads in any order.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -25,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import checkpoint_dir, coded, ship, sliced
+from garimpo.llm.common import BATCH_BYTES, checkpoint_dir, coded, release, ship, sliced
 
 MASK = 0xA282EAD8
-#: Records of a file at most.
-FILE_RECORDS = 20_000
-#: Distinct pieces of text whose ids a worker keeps; beyond that it keeps those that came in two slices or more.
-CACHE = 600_000
+#: Bytes of text in a file, about, and records of a file at most.
+FILE_BYTES, FILE_RECORDS = 128 << 20, 20_000
+#: Distinct parts of text whose ids a worker keeps; beyond that it keeps those that came in two slices or more.
+CACHE = 400_000
 
 
 def masked(crc: int) -> int:
@@ -74,18 +73,20 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
-#: Marks behind a word, which are a pre-token of their own; a piece that begins with white space, or is a line end before white space or another.
-_TAIL = re.compile(r"[^\w\s]+$")
+#: Marks that end a word and are a pre-token of their own; a word of letters with such marks or none.
+_MARKS = r"[^\p{L}\p{N}\p{Z}\p{C}_\s]"
+#: A piece that begins with white space, or is a line end before white space or another.
 _WHITE = r"\t\f\r \p{Z}\x0B\x1C-\x1F\x{85}"
 _ODD = rf"^(\n([\n{_WHITE}]|$)|[{_WHITE}]|$)"
 
 
 class Encoder:
-    """Ids by the tokenizers library, each distinct piece of text encoded once.
+    """Ids by the tokenizers library, each distinct part of text encoded once.
 
     Under the byte-level pattern no pre-token goes on over a space that stands before another character than white
-    space, nor over a line end between such characters. Texts are cut there, the pieces' ids are kept, and texts with
-    other white space or with an added token, such as <|endoftext|>, are encoded whole.
+    space, nor over a line end between such characters. Texts are cut there into pieces, and pieces that are letters
+    and then marks into these two parts. The parts' ids are kept; texts with other white space or with an added
+    token, such as <|endoftext|>, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -98,7 +99,6 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.model, self.chars = self.tok.model, _byte_chars()
-        self.newline, self.tails = self._word("\n") if self.cuts else [], {}
         self.clear()
 
     def clear(self) -> None:
@@ -106,15 +106,15 @@ class Encoder:
         self.at, self.flat, self.seen = array("q", [0]), array("I"), array("I")
 
     def _thin(self) -> None:
-        """Keep the pieces that came again; all go where most did."""
+        """Keep the parts that came again; all go where most did."""
         kept = [(p, self.flat[self.at[k] : self.at[k + 1]], self.seen[k]) for p, k in self.place.items() if self.seen[k] > 1]
         self.clear()
         if kept and len(kept) < CACHE // 2:
             self._store(*zip(*kept, strict=True))
 
-    def _store(self, pieces: Sequence[str], rows: Sequence[Sequence[int]], seen: Sequence[int]) -> None:
+    def _store(self, parts: Sequence[str], rows: Sequence[Sequence[int]], seen: Sequence[int]) -> None:
         begin, end = len(self.seen), len(self.flat)
-        self.place.update(zip(pieces, range(begin, begin + len(pieces)), strict=True))
+        self.place.update(zip(parts, range(begin, begin + len(parts)), strict=True))
         self.flat.extend(chain.from_iterable(rows))
         self.at.extend(list(accumulate(map(len, rows), initial=end))[1:])
         self.seen.extend(seen)
@@ -122,33 +122,66 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
-        if word.isascii() and word[1:].isalpha():
-            word = "\u0120" + word[1:] if word[0] == " " else word
-        else:
-            word = word.encode().decode("latin-1").translate(self.chars)
-        return [t.id for t in self.model.tokenize(word)]
-
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
+        tokenize, chars = self.model.tokenize, self.chars
         easy, rows, hard = [], [], []
-        for p in pieces:
-            bare = p[1:] if p[:1] in (" ", "\n") else p
-            if bare.isalpha():
-                tail = ""
-            elif (cut := _TAIL.search(bare)) and bare[: cut.start()].isalpha():
-                tail, bare = cut[0], bare[: cut.start()]
-            else:
+        for p in parts:
+            if not (p[1:] if p[:1] == " " else p).isalpha():
                 hard.append(p)
                 continue
-            ids = self.newline + self._word(bare) if p[0] == "\n" else self._word(p[: len(p) - len(tail)])
-            if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self._word(tail)
-                ids = ids + self.tails[tail]
+            # one pre-token: the model needs no more than its bytes' characters
+            bare = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(chars)
             easy.append(p)
-            rows.append(ids)
-        self._store(easy + hard, rows + self._whole(hard), [0] * len(pieces))
+            rows.append([t.id for t in tokenize(bare)])
+        self._store(easy + hard, rows + self._whole(hard), [0] * len(parts))
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of each part are kept."""
+        codes, distinct = coded(parts)
+        strings = distinct.to_pylist()
+        if len(self.place) + len(strings) > CACHE:
+            self._thin()
+        get = self.place.get
+        places = np.array([get(p, -1) for p in strings], np.int32)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            begin = len(self.seen)
+            self._learn([strings[i] for i in new.tolist()])
+            fresh = [self.place[strings[i]] for i in new.tolist()]
+            assert len(self.seen) == begin + len(fresh)
+            places[new] = fresh
+        seen = np.frombuffer(self.seen, np.uint32)
+        seen[places] += 1
+        return places[codes]
+
+    def _pieces(self, pieces: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and where each begins; a spaced piece has a space before it unless a line end does."""
+        line = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False).astype(bool)
+        plain = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False).astype(bool)
+        other = np.flatnonzero(~plain)
+        odd = pieces.take(pa.array(other))
+        bare = pc.replace_substring_regex(odd, r"^\n", "")
+        split = pc.match_substring_regex(bare, rf"^\p{{L}}+{_MARKS}*$").to_numpy(zero_copy_only=False).astype(bool)
+        word = pc.if_else(pa.array(split), pc.replace_substring_regex(bare, rf"{_MARKS}+$", ""), odd)
+        marks = pc.if_else(pa.array(split), pc.replace_substring_regex(bare, r"^\p{L}+", ""), "")
+        empty = pa.scalar("", pieces.type)
+        gap = pc.if_else(pa.array(spaced & ~line), pa.scalar(" ", pieces.type), empty)
+        order = np.concatenate([np.flatnonzero(plain), other])
+        back = np.argsort(order, kind="stable")
+        words = pa.concat_arrays([pieces.take(pa.array(order[: len(order) - len(other)])), word]).take(pa.array(back))
+        words = pc.binary_join_element_wise(gap, words, empty)
+        with_marks = np.flatnonzero(pc.greater(pc.binary_length(marks), 0).to_numpy(zero_copy_only=False).astype(bool))
+        found = self._places(pa.concat_arrays([words, marks.take(pa.array(with_marks)), pa.array(["\n"], pieces.type)]))
+        # three parts of a piece: its line end, its word, its marks
+        part = np.full((len(pieces), 3), -1, np.int64)
+        part[:, 1] = found[: len(pieces)]
+        part[other[with_marks], 2] = found[len(pieces) : -1]
+        apart = other[split]
+        part[apart[line[apart]], 0] = found[-1]
+        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32)
+        n = np.where(part >= 0, at[part + 1] - at[part], 0)
+        ids = spread(flat, at[part].ravel(), n.ravel())
+        return ids, np.concatenate(([0], np.cumsum(n.sum(1))))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, none of which is NULL."""
@@ -156,48 +189,38 @@ class Encoder:
             return [np.array(x, np.uint32) for x in self._whole(texts.to_pylist())]
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
-        codes, distinct = coded(parts.flatten())
-        count = len(distinct)
-        code = codes.copy()
+        code, distinct = coded(parts.flatten())
+        code, count = code.astype(np.int32), len(distinct)
         code[offsets[:-1]] += count  # a text's first piece has no space before it
         odd = np.concatenate([pc.match_substring_regex(distinct, _ODD).to_numpy(zero_copy_only=False).astype(bool), np.zeros(count, bool)])
         apart = np.add.reduceat(odd[code], offsets[:-1]) > 0 if len(code) else np.zeros(len(texts), bool)
         for token in self.added:
             apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
         whole = np.flatnonzero(apart)
-        spaced = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(pa.scalar(" ", distinct.type), distinct, pa.scalar("", distinct.type)))
         used = np.zeros(2 * count, bool)
         used[code] = True
         rest, first = np.flatnonzero(used[:count]), np.flatnonzero(used[count:])
-        pieces = spaced.take(pa.array(rest)).to_pylist() + distinct.take(pa.array(first)).to_pylist()
-        if len(self.place) + len(pieces) > CACHE:
-            self._thin()
-        get = self.place.get
-        places = np.array([get(p, -1) for p in pieces], np.int32)
-        new = np.flatnonzero(places < 0)
-        if len(new):
-            fresh = [pieces[i] for i in new.tolist()]
-            self._learn(fresh)
-            places[new] = [self.place[p] for p in fresh]
-        known = np.zeros(2 * count, np.int32)
-        known[np.concatenate([rest, first + count])] = places
-        seen = np.frombuffer(self.seen, np.uint32)
-        seen[places] += 1
-        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32)
-        at32 = at.astype(np.int32)  # a worker keeps far fewer than 2^31 ids
-        place = known[code]
-        begin = at32[place]
-        n = at32[place + 1] - begin
-        end = np.cumsum(n)
-        ids = flat[np.repeat(begin - (end - n).astype(np.int32), n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
-        cut = np.concatenate(([0], end))[offsets]
+        flat, at = self._pieces(distinct.take(pa.array(np.concatenate([rest, first]))), np.arange(len(rest) + len(first)) < len(rest))
+        place = np.zeros(2 * count, np.int32)
+        place[np.concatenate([rest, first + count])] = np.arange(len(rest) + len(first))
+        place = place[code]
+        n = np.diff(at).astype(np.int32)[place]
+        ids = spread(flat, at[place], n)
+        cut = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[offsets]
         out = [ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
-        del at, flat, seen, at32
         for i, x in zip(whole.tolist(), self._whole(texts.take(pa.array(whole)).to_pylist()), strict=True):
             out[i] = np.array(x, np.uint32)
         return out
 
 
+def spread(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``begin`` and have ``n`` elements each, one after another."""
+    end = np.cumsum(n, dtype=np.int64)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(len(flat), total) < 1 << 31 else np.int64
+    return flat[np.repeat((begin - (end - n)).astype(kind), n) + np.arange(total, dtype=kind)]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -218,13 +241,19 @@ def write_records(docs: DataFrame, path: str, vocabulary_path: str, end_id: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path)
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=BATCH_BYTES):
             ids = enc.encode(batch.column(1).fill_null(""))
             out = [frame(pack(d, np.append(x, np.uint32(end_id))))[:-1] for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        enc.clear()  # the worker lives on, and may do other work next
+        release()
 
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = use.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    size = use.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(size // FILE_BYTES, min(size // (FILE_BYTES >> 4), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
+    # rows that share a doc_id, or have none, are dealt by their texts' hashes
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    dealt = use.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\n").text(path)
 
 
@@ -265,8 +294,8 @@ def shuffled(index: DataFrame, seed: int) -> DataFrame:
 def token_output(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Write the records and their index, read them back: doc_id, start, n_tokens, ids_crc32, and each record's part, piece, offset, length.
 
-    A row for each row of ``docs``, repeated rows included; NULL and empty texts have the end id alone. Of rows that
-    share a doc_id, the smaller text comes first. Without ``path`` the files go to the shared checkpoint folder.
+    A row for each row of ``docs``, repeated rows included; NULL and empty texts have the end id alone. Rows that
+    share a doc_id follow in order of their texts' hashes. Without ``path`` the files go to the shared checkpoint folder.
     Extra columns are ignored.
     """
     spark = docs.sparkSession

@@ -110,21 +110,24 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
+def _firsts(found: DataFrame) -> DataFrame:
+    """The smallest doc_id of each (anchor, whole) that several documents have."""
+    return checkpoint(found.groupBy("anchor", "whole").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text) and spans (first window, windows) of the windows that a smaller doc_id has too."""
     use = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = use.mapInArrow(_runs, "doc_id long, th long, lo int, n int, anchor long, whole long")
+    # what stands on a join's other side is written first: joins of two plain shuffles are those that Spark splits where a key is hot
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("first_doc < last_doc").select("anchor", "first_doc", (F.col("w0") != F.col("w1")).alias("edged"))
-    met = checkpoint(found.join(shared, "anchor").where("edged or doc_id > first_doc"))
+    met = checkpoint(found.join(checkpoint(shared), "anchor").where("edged or doc_id > first_doc"))
 
     edged = met.where("edged").drop("first_doc", "edged")
-    firsts = edged.groupBy("anchor", "whole").agg(F.min("doc_id").alias("first_doc"))
-    edged = checkpoint(edged.join(firsts, ["anchor", "whole"]))
+    edged = checkpoint(edged.join(_firsts(edged), ["anchor", "whole"], "left").withColumn("first_doc", F.coalesce("first_doc", "doc_id")))
     open_runs = edged.where("doc_id = first_doc").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    maybe = Bitmap(open_runs, "doc_id")
-    single = checkpoint(use.where(maybe.column("doc_id")).join(open_runs, ["doc_id", "th"]).mapInArrow(_edges, "doc_id long, th long, lo int, anchor long, whole long"))
-    firsts = single.groupBy("anchor", "whole").agg(F.min("doc_id").alias("first_doc"))
-    late = single.join(firsts, ["anchor", "whole"]).where("doc_id > first_doc").select("doc_id", "th", "lo", F.lit(1).alias("n"))
+    single = checkpoint(Bitmap(open_runs, "doc_id").some(use, "doc_id").join(open_runs, ["doc_id", "th"]).mapInArrow(_edges, "doc_id long, th long, lo int, anchor long, whole long"))
+    late = single.join(_firsts(single), ["anchor", "whole"]).where("doc_id > first_doc").select("doc_id", "th", "lo", F.lit(1).alias("n"))
 
     whole = [x.where("doc_id > first_doc").select("doc_id", "th", "lo", "n") for x in (met.where("not edged"), edged)]
     return whole[0].unionByName(whole[1]).unionByName(late).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
@@ -138,8 +141,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     that share a doc_id aren't compared with each other. Extra columns are ignored.
     """
     found = checkpoint(repeats(docs))
-    maybe = Bitmap(found, "doc_id")
-    use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("maybe", maybe.column("doc_id"))
+    use = Bitmap(found, "doc_id").mark(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "maybe")
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     rest = use.where("not maybe").select("doc_id", "text").mapInArrow(_keep, schema)
     met = use.where("maybe").select("doc_id", "text", F.xxhash64("text").alias("th")).join(found, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_keep, schema)
