@@ -377,3 +377,154 @@ def test_null_turns_have_their_rows(spark):
 def test_digests(docs):
     got = by_id(substring.dedup_substrings(docs).withColumn("d", F.sha2("kept_text", 256)))
     assert got[5].d == hashlib.sha256(b"").hexdigest()
+
+
+def brute_features(text):
+    """Counts of the classifier's features by their own keys, without hashing into slots."""
+    w = words(text)
+    shape = lambda x: re.sub(r"A+", "A", re.sub(r"a+", "a", re.sub(r"0+", "0", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c for c in x))))
+    lower, shapes = [x.lower() for x in w], [shape(x) for x in w]
+    out = Counter(("w", x) for x in lower) + Counter(("s", x) for x in shapes)
+    for kind, xs in (("w", lower), ("s", shapes)):
+        out += Counter((kind, a, b) for a, b in zip(xs, xs[1:]))
+    return out + Counter(("=", a == b, b == c, a == c) for a, b, c in zip(w, w[1:], w[2:]))
+
+
+def test_features_brute_force():
+    texts = [BASE, "One two one TWO 3 33 3x\nÉcole école!", "", None, "a a a b", "x"]
+    row, slot, value = quality.features(pa.array(texts))
+    for k, text in enumerate(texts):
+        want = brute_features(text)
+        got = value[row == k]
+        assert len(set(slot[row == k].tolist())) == len(got)
+        norm = sum(want.values()) ** 0.5
+        assert sorted(np.round(got, 9).tolist()) == sorted(round(n**0.5 / norm, 9) for n in want.values())
+    again = quality.features(pa.array([texts[1]]))
+    assert np.array_equal(again[1], slot[row == 1]) and np.array_equal(again[2], value[row == 1])
+
+
+def test_follow_brute_force():
+    rng = np.random.default_rng(11)
+    examples = [(rng.choice(40, 6, replace=False), rng.random(6), int(rng.integers(0, 2))) for _ in range(60)]
+    z, n = Counter(), Counter()
+    weight = lambda i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+    for _ in range(quality.EPOCHS):
+        for slot, value, label in examples:
+            pairs = [*zip(slot.tolist(), value.tolist()), ("bias", 1.0)]
+            ws = {i: weight(i) for i, _ in pairs}
+            g = 1 / (1 + np.exp(-sum(ws[i] * v for i, v in pairs))) - label
+            for i, v in pairs:
+                z[i] += g * v - ((n[i] + (g * v) ** 2) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * ws[i]
+                n[i] += (g * v) ** 2
+    w, bias = quality.follow(examples)
+    assert bias == pytest.approx(weight("bias")) and [w[i] for i in range(40)] == pytest.approx([weight(i) for i in range(40)], rel=1e-5)
+
+
+def test_lists_give_the_lengths_of_the_table(monkeypatch):
+    rng = np.random.default_rng(12)
+    text = ["".join(rng.choice(list("abcdeé \n"), 400)) for _ in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "x", "y", "z", "z"]), pa.array(text)], names=["lang", "text"])
+    found = pa.concat_batches(list(ppm.count_grams(iter([batch])))).to_pandas().groupby(["lang", "gram"], as_index=False)["n"].sum()
+    trees = lambda: ppm.Trees(["x", "y", "z"], found["lang"].map({"x": 0, "y": 1, "z": 2}).to_numpy(), found["gram"].to_numpy(), found["n"].to_numpy())
+    probe = pa.array([*text, "", "zzz", "a" * 3000, "日本 abc"])
+    want = ppm.code_lengths(trees(), probe)
+    monkeypatch.setattr(ppm, "MAX_CELLS", 10)
+    assert trees().table() is None
+    assert ppm.code_lengths(trees(), probe) == pytest.approx(want, rel=1e-5, abs=1e-6)
+
+
+def test_sample_is_whole_up_to_its_bound(spark):
+    """All documents of a language are learned from while there are no more than the bound, and one row of a repeated doc_id."""
+    ship(spark)
+    rows = [(k % 90, "ab" if k < 90 else "ba", "en") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert ppm.learn(docs, 90).n.sum() == 90 * 2
+    assert ppm.learn(docs, 50).n.sum() == 50 * 2
+
+
+def test_records_of_repeated_ids(spark):
+    ship(spark)
+    rows = [(k % 3 if k % 4 else None, f"text {k} " * (k % 5)) for k in range(60)] + [(1, None), (1, None)]
+    got = sorted(records.token_output(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start)
+    enc = records.Encoder(records.vocabulary())
+    crc = lambda t: zlib.crc32(np.array([*enc.tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((d, crc(t)) for d, t in rows)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda d: (d is None, d))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+
+
+def test_very_long_texts(spark):
+    """A text over what a worker handles at once, beside short ones, in every operator on documents."""
+    ship(spark)
+    long = " ".join(f"w{x}" for x in np.random.default_rng(13).integers(0, 10**6, 700_000))
+    assert len(long) > 4 << 20
+    rows = [(0, BASE, "en", "a"), (1, long, "en", "b"), (2, long + " " + BASE, "en", "b"), (3, BASE, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {k: r.n_words for k, r in by_id(repetition.repetition(docs).drop("text")).items()} == {0: 120, 1: 700_000, 2: 700_120, 3: 120}
+    assert {k: r.component_id for k, r in by_id(neardup.near_duplicates(docs)).items()} == {0: 0, 1: 1, 2: 1, 3: 0}
+    assert {k: r.n_removed for k, r in by_id(substring.dedup_substrings(docs).drop("kept_text")).items()} == {0: 0, 1: 0, 2: 700_120, 3: 120}
+    assert {k: r.n_removed for k, r in by_id(lines.dedup_lines(docs).drop("kept_text")).items()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert set(by_id(ppm.language_id(docs))) == {0, 1, 2, 3}
+    assert set(by_id(quality.quality_scores(docs, spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")))) == {0, 1, 2, 3}
+    bench = spark.createDataFrame([(7, " ".join(BASE.split()[:60]))], "item_id long, text string")
+    assert {k: r.item_ids for k, r in by_id(decontaminate.decontaminate(docs, bench)).items()} == {0: [7], 1: [], 2: [7], 3: [7]}
+    got = by_id(records.token_output(docs))
+    assert got[1].start == got[0].n_tokens and got[2].n_tokens > got[1].n_tokens > 700_000
+
+
+def test_two_rows_of_one_id(spark):
+    """They aren't compared with each other, and all others are compared with both."""
+    ship(spark)
+    other = prose(40, 90)
+    docs = spark.createDataFrame([(1, BASE), (1, other), (1, BASE), (2, BASE), (3, other), (0, "a\nb\nc\nd"), (5, "a\nb\nc\nd"), (5, "x\ny\nz")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.dedup_substrings(docs).collect())
+    assert got == {(1, 120, 0): 2, (1, 90, 0): 1, (2, 120, 120): 1, (3, 90, 90): 1, (0, 4, 0): 1, (5, 4, 0): 1, (5, 3, 0): 1}
+    assert Counter((r.doc_id, r.n_removed) for r in lines.dedup_lines(docs).collect()) == {(1, 0): 3, (2, 0): 1, (3, 0): 1, (0, 0): 1, (5, 4): 1, (5, 0): 1}
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 1), (0, 0), (5, 0), (5, 5)}
+    assert Counter(r.doc_id for r in repetition.repetition(docs).collect()) == {1: 3, 2: 1, 3: 1, 0: 1, 5: 2}
+
+
+def test_columns_with_the_figures_names(spark):
+    docs = spark.createDataFrame([(k, f"w{k} " * (k % 7), "ab"[k % 2], -k, "t", k, 1.5, "n") for k in range(40)], "doc_id long, text string, source string, size int, target string, mix_0 int, nth double, source_size string")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and {(r.size, r.target, r.mix_0, r.nth, r.source_size) for r in got.collect()} <= {(-k, "t", k, 1.5, "n") for k in range(40)}
+    plain = by_id(mixing.copies(docs.select("doc_id", "text", "source")))
+    assert {r.doc_id: (r.size, r.target, r.taken) for r in mixing.copies(docs).collect()} == {k: (r.size, r.target, r.taken) for k, r in plain.items()}
+    assert Counter(r.doc_id for r in got.collect()) == +Counter({k: r.copies for k, r in plain.items()})
+
+
+def test_awkward_arguments_and_schemas(spark):
+    """Nothing that a call or a tool holds ends the job."""
+    ship(spark)
+    texts = ['{"n":1e999}', "[" * 100_000, '{"n":"\\ud800"}', '{"n":1.0}', '{"n":true}', "NaN", "", '{"n":1}']
+    schemas = {"int": '{"properties":{"n":{"type":"integer"}}}', "dec": '{"properties":{"n":{"type":"decimal"}}}', "bad": "{", "odd": '{"required":3}', "list": "[]"}
+    calls = [(1, k, f"{tool}{k}", tool, t, None, "extra") for tool in schemas for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, tool string, arguments string, needs array<string>, status string")
+    tools = spark.createDataFrame(list(schemas.items()), "tool string, schema string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    got = {r.call_id: r for r in toolcalls.link(frame, none, tools).collect()}
+    assert [got[f"int{k}"].error for k in range(8)] == ["arguments have a number out of range", "arguments are nested too deep", "$.n: not integer", None, "$.n: not integer", "arguments aren't JSON", "arguments aren't JSON", None]
+    assert {got[f"{s}7"].error for s in ("dec", "bad", "odd", "list")} == {"the tool's schema can't be applied"}
+    assert json.loads(got["int2"].json)["arguments"] == {"n": "\ud800"} and json.loads(got["int0"].json)["arguments"] is None
+    assert toolcalls.link(frame.limit(0), none, tools).count() == 0
+    one = toolcalls.link(frame.limit(0), spark.createDataFrame([(None, "x", "y")], none.schema), tools.limit(0)).collect()
+    assert [(r.status, r.valid) for r in one] == [("orphan", None)]
+
+
+def test_levels_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(14)
+    edges = {(str(c), f"{c}-{int(a)}", f"{c}-{int(b)}") for c in range(6) for a, b in rng.integers(0, 12, (14, 2)) if c % 2 or a > b}
+    frame = spark.createDataFrame(sorted(edges), "conv string, id string, needs string")
+    want = toolcalls.order([e[1:] for e in edges])
+    for most in (0, 8, 1000):
+        assert {r.id: r.level for r in toolcalls.levels(frame, most).collect()} == want
+    for ident, level in want.items():
+        needs = [n for _, i, n in edges if i == ident]
+        assert level == (1 + max(want[n] for n in needs) if needs else 0)
+
+
+def test_the_smallest_call_is_a_call(spark):
+    ship(spark)
+    calls = [(1, 2, "a", "t", '{"x":1}', None), (1, 1, "a", "u", '{"x":2}', None)]
+    got = toolcalls.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, tool string, arguments string, needs array<string>"), spark.createDataFrame([], "conv_id long, call_id string, content string"), spark.createDataFrame([], "tool string, schema string")).collect()
+    assert [r.json for r in got] == ['{"arguments":{"x":2},"id":"a","name":"u","result":null}']
