@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker handles at once, and that a batch sent to it has at most, but for single texts.
-SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)

@@ -206,7 +206,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     A leader with many members meets them in groups of about GROUP, each with a copy of the leader's set.
     """
-    groups = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups"))
+    groups = checkpoint(pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("groups")))
     none = F.lit(0).cast("long").alias("comp")
     members = pairs.join(groups, "leader").select(F.col("member").alias("doc_id"), "leader", _group("member", "groups").alias("salt"), F.lit(1).alias("role"), none)
     leaders = groups.select(F.col("leader").alias("doc_id"), "leader", _up_to("groups").alias("salt"), F.lit(0).alias("role"), none)

@@ -11,6 +11,7 @@ reads in any order.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ MASK = 0xA282EAD8
 #: Bytes of text in a file, about, and records of a file at most.
 FILE_BYTES, FILE_RECORDS = 128 << 20, 20_000
 #: Distinct parts of text whose ids a worker keeps; beyond that it keeps those that came in two slices or more.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def masked(crc: int) -> int:
@@ -90,6 +91,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

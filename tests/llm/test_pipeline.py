@@ -14,8 +14,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 @pytest.fixture(scope="module")
 def stages(spark, sf):
-    docs, out = spark.read.parquet(f"{sf}/documents.parquet").limit(120), []
-    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
     out.append(docs.collect())
     for _, f in corpus_pipeline.STAGES:
         rows = f(spark, docs, sf).collect()
@@ -24,6 +23,28 @@ def stages(spark, sf):
     return out
 
 
+def test_run_gives_the_rows_of_the_stages(spark, sf, stages):
+    """run(), with its tables written and read again between stages, on the whole table."""
+    key = lambda r: (r.start, r.doc_id, r.n_tokens, r.ids_crc32)
+    assert sorted(map(key, corpus_pipeline.run(spark, sf).collect())) == sorted(map(key, stages[5]))
+
+
+def test_rows_without_an_id_of_their_own(spark, sf):
+    """Copies and leaks go where doc_ids are missing or repeated, too; nothing else does."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 80))
+    rows = [(None, text(1)), (None, text(1)), (None, text(2)), (4, text(3)), (4, text(3)), (4, text(4)), (None, f"{text(5)} {item} {text(6)}"), (5, text(7)), (6, text(7) + " tail")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, garimpo int")
+    kept = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert kept.columns == docs.columns
+    want = [(None, text(1)), (None, text(2)), (4, text(3)), (4, text(4)), rows[6], (5, text(7))]
+    order = lambda r: (r[0] is None, r)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=order) == sorted(want, key=order)
+    clean = corpus_pipeline.decontamination(spark, kept, sf)
+    assert {r.text for r in clean.collect()} == {t for _, t in want} - {rows[6][1]}
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), sf).count() == corpus_pipeline.decontamination(spark, docs.limit(0), sf).count() == 0
+
+
 def test_stages_keep_the_columns(stages):
     for rows in stages[1:5]:
         assert rows and rows[0].__fields__ == stages[0][0].__fields__
@@ -35,11 +56,17 @@ def test_quality_and_near_duplicates(spark, stages):
     assert {r.doc_id for r in stages[1]} == kept
     sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in stages[1] for w in [WORD.findall(r.text.lower())]}
     root = {k: k for k in sets}
-    for _ in range(4):
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if b < a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
     assert {r.doc_id for r in stages[2]} == {k for k in sets if root[k] == k}
     assert neardup.WIDTH == 5
 
