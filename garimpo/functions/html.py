@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,44 +60,49 @@ def visible_text(html: Column | str) -> Column:
     return F.substring(squeeze(unescape(F.regexp_replace(plain, r"<[^>]*>", " "))), 1, TEXT)
 
 
+#: An address in double, single or no quotes.
+HREF_RE = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def anchors(html: Column | str) -> Column:
     """href and anchor text of each link, in order, repeats included."""
-    html = _c(html)
-    whole = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>)"), F.lit(1))
-    made = F.transform(whole, lambda a: F.struct(F.trim(unescape(F.regexp_extract(a, r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1))).alias("href"), squeeze(unescape(F.regexp_replace(a, "<[^>]*>", ""))).alias("text")))
+    whole = F.regexp_extract_all(_c(html), F.lit(rf"(?is)(<a\s(?:[^>]*?\s)?{HREF_RE}[^>]*>.*?</a>)"), F.lit(1))
+    href = lambda a: F.concat(*[F.regexp_extract(a, rf"(?is)^<a\s(?:[^>]*?\s)?{HREF_RE}", k) for k in (1, 2, 3)])
+    made = F.transform(whole, lambda a: F.struct(F.trim(unescape(href(a))).alias("href"), squeeze(unescape(F.regexp_replace(a, "<[^>]*>", ""))).alias("text")))
     return F.transform(F.filter(made, lambda x: x["href"] != ""), lambda x: F.struct(x["href"].alias("href"), F.when(x["text"] != "", F.substring(x["text"], 1, ANCHOR)).alias("anchor_text")))
 
 
+def resolve_path(base: Column, path: Column) -> Column:
+    """The path that ``path`` names from a page at path ``base``: dots resolved, empty parts of relative paths left out."""
+    folder = F.split(F.regexp_replace(base, "/[^/]+$", ""), "/")
+    joined = F.concat(folder, F.split(path, "/"))
+    inner = F.filter(F.slice(joined, 2, F.greatest(F.size(joined) - 2, F.lit(0))), lambda x: x != "")
+    relative = F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, -1, 1))
+    parts = F.when(path.startswith("/"), F.split(path, "/")).otherwise(relative)
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    out = F.array_join(ended, "/")
+    return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+
+
 def join_url(base: Column | str, href: Column | str) -> Column:
-    """Absolute, protocol-relative and root-relative addresses, and those below the base's folder without dots; NULL for the rest, which ``urljoin_udf`` resolves."""
+    """The absolute address of ``href`` on the page ``base`` (RFC 3986): other schemes as they are, then host-, root- and
+    folder-relative addresses with their dots resolved, queries and fragments of the page itself."""
     base, href = _c(base), _c(href)
     root = F.concat(U.scheme(base), F.lit("://"), F.regexp_extract(base, U.URL_RE, 2))
-    folder = F.regexp_replace(F.regexp_extract(base, U.URL_RE, 3), "[^/]*$", "")
-    simple = href.rlike(r"^[^./?#:][^:]*$") & ~href.rlike(r"(^|/)\.\.?(/|$)")
+    base_path, base_query = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    own = F.concat(base_path, F.when(rest.startswith("?"), "").otherwise(base_query))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(U.scheme(base), F.lit(":"), href))
-        .when(href.startswith("/") & ~href.rlike(r"/\.\.?(/|$)"), F.concat(root, href))
-        .when(simple, F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+        .when(path == "", F.concat(root, own, rest))
+        .otherwise(F.concat(root, resolve_path(base_path, path), rest))
     )
 
 
-def urljoin_udf():
-    @F.pandas_udf("string")
-    def join(base: pd.Series, href: pd.Series) -> pd.Series:
-        def one(b, h):
-            try:
-                return urljoin(b, h)
-            except ValueError:
-                return None
-
-        return pd.Series([one(b, h) if b is not None and h is not None else None for b, h in zip(base, href, strict=True)], dtype=object)
-
-    return join
-
-
 def links(base: Column | str, html: Column | str, stores=None) -> Column:
-    """Normalised allowed links of a page with their anchor text; addresses with dots aren't resolved here."""
+    """Normalised allowed links of a page with their anchor text."""
     made = F.transform(anchors(html), lambda a: F.struct(U.normalize(join_url(base, a["href"])).alias("url"), a["anchor_text"].alias("anchor_text")))
     return F.filter(made, lambda a: U.is_allowed(a["url"], stores))
 
@@ -108,17 +112,21 @@ def json_ld(html: Column | str) -> Column:
     return F.regexp_extract_all(_c(html), F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
 
 
-def _get(body: Column, path: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(body), path, "string")
+def has_product_schema(html: Column | str) -> Column:
+    """Whether a script's object, or one of those in its list, is a product by @type, a string or a list."""
+    products = F.array(*[F.lit(t) for t in PRODUCT_TYPES])
 
+    def typed(kind: Column) -> Column:
+        several = F.from_json(F.when(kind.startswith("["), kind), "array<string>")
+        return F.coalesce(F.array_contains(products, kind) | F.exists(F.coalesce(several, F.array().cast("array<string>")), lambda k: F.array_contains(products, k)), F.lit(False))
 
-def has_product_schema(html: Column | str) -> Column:
-    """Whether a script's object, or one of its first eight in a list, is a product by @type, a string or a list."""
-    def typed(body: Column) -> Column:
-        names = [_get(body, f"{p}['@type']{t}") for p in ["$", *[f"$[{i}]" for i in range(8)]] for t in ("", "[0]", "[1]", "[2]")]
-        return F.coalesce(F.arrays_overlap(F.filter(F.array(*names), lambda x: x.isNotNull()), F.array(*[F.lit(t) for t in PRODUCT_TYPES])), F.lit(False))
+    def product(body: Column) -> Column:
+        n = F.coalesce(F.json_array_length(body), F.lit(0))
+        at = lambda path: F.call_function("get_json_object", body, path)
+        listed = F.exists(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: typed(at(F.concat(F.lit("$["), i.cast("string"), F.lit("]['@type']")))))
+        return F.try_parse_json(body).isNotNull() & (typed(at(F.lit("$['@type']"))) | listed)
 
-    return F.exists(json_ld(html), typed)
+    return F.exists(json_ld(html), lambda b: F.coalesce(product(b), F.lit(False)))
 
 
 def meta(html: Column | str, prop: str) -> Column:
@@ -146,22 +154,31 @@ def is_product_page(html: Column | str, url: Column | str, stores=None) -> Colum
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+#: Elements that an element of the same kind ends.
+_ENDED = {"li", "p", "option", "tr", "td", "th", "dt", "dd"}
+
+
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self):
-        for c in self.children:
+        """All nodes below, in order; pages may be nested more deeply than calls can be."""
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, Node):
                 yield c
-                yield from c.walk()
+                todo += c.children[::-1]
 
     def strings(self, skip: frozenset = frozenset()):
-        for c in self.children:
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, str):
                 yield c
             elif c.tag not in skip:
-                yield from c.strings(skip)
+                todo += c.children[::-1]
 
     def text(self) -> str:
         return "".join(s.strip() for s in self.strings())
@@ -173,6 +190,8 @@ class _Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag in _ENDED and self.at.tag == tag:
+            self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in _VOID:
@@ -242,13 +261,20 @@ def _scripts(root: Node):
         if node.tag == "script" and node.attrs.get("type", "").lower() == "application/ld+json":
             try:
                 yield json.loads("".join(node.strings()))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
 
 
 def _kind(data: object) -> bool:
     kinds = data.get("@type") if isinstance(data, dict) else None
-    return bool(set(kinds if isinstance(kinds, list) else [kinds]) & set(PRODUCT_TYPES)) if kinds else False
+    return any(isinstance(k, str) and k in PRODUCT_TYPES for k in (kinds if isinstance(kinds, list) else [kinds]))
+
+
+def _brand(brand: object) -> str | None:
+    """The name of a brand that is a text, an object with a name, or a list of these."""
+    brand = brand[0] if isinstance(brand, list) and brand else brand
+    brand = brand.get("name") if isinstance(brand, dict) else brand
+    return brand if isinstance(brand, str) else None
 
 
 def _offer(data: dict) -> object:
@@ -262,13 +288,12 @@ def product_info(root: Node) -> dict:
     for data in _scripts(root):
         data = next((x for x in data if _kind(x)), None) if isinstance(data, list) else data
         if isinstance(data, dict) and _kind(data) and data.get("name"):
-            brand = data.get("brand")
             price = _offer(data)
             try:
                 price = None if price is None else float(price)
             except (TypeError, ValueError):
                 continue
-            return {"name": str(data["name"]), "sku": None if data.get("sku") is None else str(data["sku"]), "brand": brand.get("name") if isinstance(brand, dict) else brand, "price": price}
+            return {"name": str(data["name"]), "sku": None if data.get("sku") is None else str(data["sku"]), "brand": _brand(data.get("brand")), "price": price}
     metas = {}
     for n in root.walk():
         if n.tag == "meta" and n.attrs.get("content"):

@@ -9,9 +9,10 @@ from garimpo.functions import classify as C
 from garimpo.functions import html as H
 from garimpo.functions import price as P
 from garimpo.functions import stores as ST
+from garimpo.functions import url as U
 from garimpo.functions.wordlists import CATEGORIES, HARDWARE, NON_HARDWARE, REPORT_HARDWARE, REPORT_NON_HARDWARE
 from garimpo.operators import products as PR
-from garimpo.plans.views import HOST_SQL, TITLE_SQL, repr_sql, t, unescape_sql
+from garimpo.plans.views import DOMAIN_SQL, HOST_SQL, TITLE_SQL, repr_sql, sql_list, t, unescape_sql
 
 _LD = '<script type="application/ld+json">{}</script>'
 SHOP_PAGES = [
@@ -22,6 +23,10 @@ SHOP_PAGES = [
     ("https://loja.example.com/b", "<html><head><title>captcha</title></head><body>blocked</body></html>"),
     ("https://www.mercadolivre.com.br/notebook-lenovo-ideapad/p/MLB1928", '<html><body><h1>Notebook Lenovo Ideapad</h1><span class="andes-money-amount__fraction">4.599</span><s>R$ 5.000,00</s></body></html>'),
     ("https://loja.example.com/c", "<html>" + _LD.format("[{broken") + _LD.format('[{"@type":["Thing","Offer"],"name":"Oferta","offers":[{"price":"1.599,90"}]}]') + "</html>"),
+    ("https://loja.example.com/d", "<html>" + _LD.format("[" + '{"@type":"Thing"},' * 11 + '{"@type":"Product","name":"doze"}]') + "</html>"),
+    ("https://loja.example.com/e", "<html>" + _LD.format('{"@type":["A","B","C","D","ProductModel"]}') + _LD.format('{"x":{"@type":"Product"}}') + "</html>"),
+    ("https://loja.example.com/f", "<html>" + _LD.format('[{"@type":["A"]},{"@type":"Productx"},{"name":"Product"}]') + "</html>"),
+    ("https://loja.example.com/g", '<html><meta content="1" property="product:price:amount"></html>'),
     ("https://www.magazineluiza.com.br/geladeira/p/ab1/", "<html><h1>Geladeira 400L</h1><p>R$ 49,90 R$ 200.000,00</p></html>"),
 ]
 PRICES = ["1.234,56", "1234,56", "R$ 12.345,99", "1234.56", "R$ 999,90", "abc", "0", "-5", "1000000,01", "1.234", "", "R$ 1 234,5", "nan", None]
@@ -55,15 +60,24 @@ def o37_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o37_joined_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return o37_anchors(spark, sf_dir).join(t(spark, sf_dir, "pages").select("page_id", "url"), "page_id").select("page_id", "pos", H.join_url("url", "href").alias("target"))
+    """Each link as it stands, and with dots, below the page, as a query and as a fragment."""
+    made = t(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(H.anchors("html")).alias("pos", "a"))
+    href = F.col("a.href")
+    forms = F.array(href, F.concat(F.lit(".."), href), F.concat(F.lit("../.."), href, F.lit("/..")), F.concat(F.lit("."), href, F.lit("?q=1#f")), F.concat(F.lit("x/./y/../z//"), href), F.lit("?page_number=2"), F.lit("#top"), F.lit("//cdn.example.com/a"), F.concat(F.lit("/a/../b/."), href))
+    return made.select("page_id", "pos", "url", F.posexplode(forms).alias("form", "href")).select("page_id", "pos", "form", H.join_url("url", "href").alias("target"))
+
+
+def both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages and the made-up ones, whose numbers are negative."""
+    return t(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), "url", "html").union(shop_pages(spark).select(F.col("k") - 100, "url", "html"))
 
 
 def o38_json_ld_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shop_pages(spark).select("k", H.has_product_schema("html").alias("product"))
+    return both(spark, sf_dir).select("k", H.has_product_schema("html").alias("product"))
 
 
 def o39_open_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shop_pages(spark).select("k", H.has_product_og("html").alias("product"))
+    return both(spark, sf_dir).select("k", H.has_product_og("html").alias("product"))
 
 
 def o40_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +85,7 @@ def o40_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o41_is_product_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shop_pages(spark).select("k", H.is_product_page("html", "url").alias("product"))
+    return both(spark, sf_dir).select("k", H.is_product_page("html", "url").alias("product"))
 
 
 def o42_product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +140,15 @@ def o68_seed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _S = "s(k, url, html) AS (VALUES " + ", ".join(f"({k}, {repr_sql(u)}, {repr_sql(h)})" for k, (u, h) in enumerate(SHOP_PAGES)) + ")"
 _N = "n(k, name) AS (VALUES " + ", ".join(f"({k}, {repr_sql(x)})" for k, x in enumerate(NAMES)) + ")"
-_BOTH = f"{_S}, b AS (SELECT page_id AS k, html FROM pages UNION ALL SELECT k - 100, html FROM s)"
+_BOTH = f"{_S}, b AS (SELECT page_id AS k, url, html FROM pages UNION ALL SELECT k - 100, url, html FROM s)"
+_KINDS = sql_list(H.PRODUCT_TYPES)
+_LD_SQL = f"""ld0 AS (SELECT k, unnest(regexp_extract_all(html, '(?is)<script[^>]*type\\s*=\\s*["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1)) AS body FROM b),
+ld1 AS (SELECT k, unnest(CASE WHEN json_type(body) = 'ARRAY' THEN json_extract(body, '$[*]."@type"') ELSE [json_extract(body, '$."@type"')] END) AS kind FROM (SELECT k, body::JSON AS body FROM ld0 WHERE json_valid(body))),
+ld AS (SELECT DISTINCT k FROM (SELECT k, unnest(CASE WHEN json_type(kind) = 'ARRAY' THEN kind->>'$[*]' ELSE [kind->>'$'] END) AS kind FROM ld1) WHERE kind IN ({_KINDS}))"""
+_META = "regexp_extract(html, '(?is)(<meta[^>]*property\\s*=\\s*[\"'']{}[\"''][^>]*>)', 1)"
+_CONTENT = f"regexp_extract({_META}, '(?is)content\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
+_OG = f"(contains(lower({_CONTENT.format('og:type')}), 'product') OR {_CONTENT.format('product:price:amount')} <> '')"
+_SHOP = " OR ".join(f"({DOMAIN_SQL} = {repr_sql(s.domain)} AND regexp_matches(url, {repr_sql('(?i)' + '|'.join(s.product_patterns))}))" for s in ST.STORES)
 
 
 def _any(col: str, words: list[str]) -> str:
@@ -137,8 +159,9 @@ _PLAIN = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
 for _tag in H.HIDDEN:
     _PLAIN = f"regexp_replace({_PLAIN}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
 _TEXT = "substr(trim(regexp_replace(" + unescape_sql(f"regexp_replace({_PLAIN}, '<[^>]*>', ' ', 'g')") + f", '[\\s ]+', ' ', 'g')), 1, {H.TEXT})"
-_ANCHORS = f"""a AS (SELECT page_id, url, unnest(xs) AS x, unnest(range(len(xs)))::INT AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*href\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>') AS xs FROM pages)),
-h AS (SELECT page_id, url, pos, trim({unescape_sql('''regexp_extract(x, '(?is)href\\s*=\\s*["'']([^"'']*)["'']', 1)''')}) AS href, nullif(substr(trim(regexp_replace({unescape_sql("regexp_replace(x, '<[^>]*>', '', 'g')")}, '[\\s ]+', ' ', 'g')), 1, 512), '') AS anchor_text FROM a)"""
+_HREF = repr_sql("(?is)^<a\\s(?:[^>]*?\\s)?" + H.HREF_RE)
+_ANCHORS = f"""a AS (SELECT page_id, url, unnest(xs) AS x, unnest(range(len(xs)))::INT AS pos FROM (SELECT page_id, url, regexp_extract_all(html, {repr_sql("(?is)<a\\s(?:[^>]*?\\s)?" + H.HREF_RE + "[^>]*>.*?</a>")}) AS xs FROM pages)),
+h AS (SELECT page_id, url, pos, trim({unescape_sql(f"(regexp_extract(x, {_HREF}, 1) || regexp_extract(x, {_HREF}, 2) || regexp_extract(x, {_HREF}, 3))")}) AS href, nullif(substr(trim(regexp_replace({unescape_sql("regexp_replace(x, '<[^>]*>', '', 'g')")}, '[\\s ]+', ' ', 'g')), 1, 512), '') AS anchor_text FROM a)"""
 _INDICATORS = " + ".join(f"regexp_matches(html, {repr_sql(f'''(?is)<{a}{chr(92)}b[^>]*{chr(92)}b{b}{chr(92)}s*={chr(92)}s*[\"'][^\"']*({c})''')})::INT" for a, b, c in H.INDICATORS)
 _BARE = "regexp_replace(text, '[R$\\s ]', '', 'g')"
 _NUM = f"CASE WHEN contains({_BARE}, ',') AND contains({_BARE}, '.') THEN replace(replace({_BARE}, '.', ''), ',', '.') ELSE replace({_BARE}, ',', '.') END"
@@ -149,12 +172,19 @@ ORACLES = {
     "o35_title": f"SELECT page_id, {TITLE_SQL.format(unescape_sql(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)'])))} AS title FROM pages",
     "o36_visible_text": f"SELECT page_id, length(x)::INT AS n, md5(x) AS digest FROM (SELECT page_id, {_TEXT} AS x FROM pages)",
     "o37_anchors": f"WITH {_ANCHORS} SELECT page_id, pos, href, anchor_text FROM h WHERE href <> ''",
-    "o37_joined_links": f"""WITH {_ANCHORS}, r AS (SELECT *, lower(regexp_extract(url, '^([^:/?#]+)://', 1)) AS sch, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS net FROM h WHERE href <> '')
-SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN sch || ':' || href WHEN href LIKE '/%' THEN sch || '://' || net || href END AS target FROM r""",
-    "o38_json_ld_product": f"WITH {_S} SELECT k, k IN (0, 1, 6) AS product FROM s",
-    "o39_open_graph": f"WITH {_S} SELECT k, regexp_matches(html, 'og:type\" content=\"product') OR contains(html, 'product:price:amount') AS product FROM s",
+    "o37_joined_links": f"""WITH {_ANCHORS}, f AS (SELECT page_id, pos, url, unnest(range(9))::INT AS form, unnest([href, '..' || href, '../..' || href || '/..', '.' || href || '?q=1#f', 'x/./y/../z//' || href, '?page_number=2', '#top', '//cdn.example.com/a', '/a/../b/.' || href]) AS href FROM h WHERE href <> ''),
+r AS (SELECT *, lower(regexp_extract(url, '^([^:/?#]+)://', 1)) AS sch, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS net, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS bp, regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS bq, regexp_extract(href, '^([^?#]*)', 1) AS p, regexp_extract(href, '^[^?#]*(.*)$', 1) AS rest FROM f),
+s AS (SELECT *, string_split(regexp_replace(bp, '/[^/]+$', ''), '/') || string_split(p, '/') AS j FROM r),
+u AS (SELECT *, CASE WHEN p LIKE '/%' THEN string_split(p, '/') ELSE [j[1]] || list_filter(j[2:len(j) - 1], lambda x: x <> '') || [j[len(j)]] END AS parts FROM s),
+v AS (SELECT *, list_reduce(list_transform(parts, lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[1:len(a) - 1] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END) AS done FROM u),
+w AS (SELECT *, array_to_string(CASE WHEN parts[len(parts)] IN ('.', '..') THEN list_concat(done, ['']) ELSE done END, '/') AS q FROM v)
+SELECT page_id, pos, form, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN sch || ':' || href WHEN p = '' THEN sch || '://' || net || bp || CASE WHEN rest LIKE '?%' THEN '' ELSE bq END || rest
+  ELSE sch || '://' || net || CASE WHEN q LIKE '/%' THEN q ELSE '/' || q END || rest END AS target FROM w""",
+    "o38_json_ld_product": f"WITH {_BOTH}, {_LD_SQL} SELECT k, ld.k IS NOT NULL AS product FROM b LEFT JOIN ld USING (k)",
+    "o39_open_graph": f"WITH {_BOTH} SELECT k, {_OG} AS product FROM b",
     "o40_indicators": f"WITH {_BOTH} SELECT k, {_INDICATORS} AS n FROM b",
-    "o41_is_product_page": f"WITH {_S} SELECT k, k <> 4 AS product FROM s",
+    "o41_is_product_page": f"""WITH {_BOTH}, {_LD_SQL} SELECT k, CASE WHEN regexp_matches(url, {repr_sql('(?i)' + U.LISTING_RE)}) THEN false WHEN regexp_matches(url, {repr_sql('(?i)' + U.PRODUCT_RE)}) OR {_SHOP} THEN true
+  WHEN ld.k IS NOT NULL OR {_OG} THEN true ELSE {_INDICATORS} >= 3 END AS product FROM (SELECT *, {HOST_SQL} AS h FROM b) LEFT JOIN ld USING (k)""",
     "o46_blocked": f"WITH {_BOTH} SELECT k, {_any('html', C.BLOCKED)} AS blocked FROM b",
     "o47_generic_title": f"WITH {_N}, m AS (SELECT * FROM n UNION ALL SELECT 100, 'Kabum! ofertas' UNION ALL SELECT 101, '10 com desconto') SELECT k, coalesce({_any('name', C.GENERIC)}, false) AS generic FROM m",
     "o49a_parse_price": f"WITH p(k, text) AS (VALUES {', '.join(f'({k}, {repr_sql(x)})' for k, x in enumerate(PRICES))}), q AS (SELECT k, CASE WHEN regexp_matches(x, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$') THEN x::DOUBLE END AS v FROM (SELECT k, {_NUM} AS x FROM p)) SELECT k, CASE WHEN v > 0 AND v <= 1000000 THEN round(v, 2) END AS price FROM q",

@@ -100,8 +100,7 @@ def test_page_functions(spark):
     assert (r.t, r.v) == ("A & B", "A & B one two l1 l2 none")
     assert [tuple(a) for a in r.a] == [("/x", "l1"), ("http://y.com/", "l2")]
     joins = df.select(*[H.join_url(F.lit("https://h.com/a/b?q=1"), F.lit(h)).alias(f"c{i}") for i, h in enumerate(["//z.com/k", "/r", "c", "http://w", "../up"])]).first()
-    assert list(joins) == ["https://z.com/k", "https://h.com/r", "https://h.com/a/c", "http://w", None]
-    assert df.select(H.urljoin_udf()(F.lit("https://h.com/a/b/c"), F.lit("../up"))).first()[0] == "https://h.com/a/up"
+    assert list(joins) == ["https://z.com/k", "https://h.com/r", "https://h.com/a/c", "http://w", "https://h.com/up"]
 
 
 def test_selectors():
@@ -111,3 +110,32 @@ def test_selectors():
     assert H.select(root, "[data-price]").attrs["data-price"] == "9"
     assert H.select(root, "p.c").text() == "z"
     assert H.select(root, ".c h1") is None
+
+
+def test_links_resolve_as_urllib_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.com", "http://h.com/", "http://h.com/a/b", "http://h.com/a/b/", "https://h.com/a/b/c?x=1#f", "http://h.com/a//b"]
+    hrefs = ["x", "./x", "../x", "../../x", "../../../x", "?page_number=2", "#f", "/x/../y", "/x", "//o.com/z", "mailto:a@b", "a/./b/../c", ".", "..", "x/..", "x//y", "/x//y", "x?y#z", "../", "a/b/../../../c", "/..", "/."]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string").select("b", "h", H.join_url("b", "h").alias("j")).collect()
+    assert {(r.b, r.h): r.j for r in rows} == {(b, h): urljoin(b, h) for b in bases for h in hrefs}
+
+
+def test_all_links_of_a_page(spark):
+    page = """<a class=x href='../p/1'>um</a><a href=?page_number=2>2</a><A HREF="./b"> <b>c</b></A><a href="//www.kabum.com.br/d">d</a><a data-href="no">n</a><a href="">e</a>"""
+    row = spark.createDataFrame([("https://www.kabum.com.br/a/b", page)], "url string, html string").select(H.anchors("html").alias("a"), H.links("url", "html").alias("l")).first()
+    assert [(a.href, a.anchor_text) for a in row.a] == [("../p/1", "um"), ("?page_number=2", "2"), ("./b", "c"), ("//www.kabum.com.br/d", "d")]
+    assert [x.url for x in row.l] == ["https://www.kabum.com.br/p/1", "https://www.kabum.com.br/a/b?page_number=2", "https://www.kabum.com.br/a/b", "https://www.kabum.com.br/d"]
+
+
+def test_broken_pages_end_nothing(spark):
+    script = '<script type="application/ld+json">{}</script>'
+    pages = ["<ul>" + "<div><li>" * 3000 + "x", script.format("[" * 100_000), script.format('{"@type":[{}],"name":"n"}'), script.format('{"@type":"Product","name":"n","brand":["B"]}'), script.format('{"@type":"Product","name":"n","brand":[{"name":"C"}]}'), None]
+    got = spark.createDataFrame([(k, h, "http://a.com/") for k, h in enumerate(pages)], "k int, html string, url string").select("k", H.page_udf()("html", "url").alias("p")).orderBy("k").collect()
+    assert [(r.p.name, r.p.brand) for r in got] == [(None, None), (None, None), (None, None), ("n", "B"), ("n", "C"), (None, None)]
+    assert got[0].p.text == "x"
+
+
+def test_open_elements_end(spark):
+    root = H.parse("<ul><li>a<li>b</ul><p>c<p>d")
+    assert [(n.tag, n.parent.tag, n.text()) for n in root.walk()] == [("ul", "", "ab"), ("li", "ul", "a"), ("li", "ul", "b"), ("p", "", "c"), ("p", "", "d")]
