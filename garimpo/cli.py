@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import signal
 import sys
 
 from garimpo import session
@@ -18,13 +19,14 @@ def parser() -> argparse.ArgumentParser:
     c = s.add_parser("crawl")
     c.add_argument("--max-pages", type=int, default=60_000)
     c.add_argument("--concurrent", type=int, default=25)
-    c.add_argument("--delay", type=float, default=0.2)
+    c.add_argument("--delay", type=float, default=None, help="seconds between two requests to a host; each shop's own if not given")
+    c.add_argument("--no-robots", action="store_true", help="don't ask for robots.txt")
     c.add_argument("--store", default=None)
     c.add_argument("--no-resume", action="store_true", help="add the seeds even if there is a frontier")
     s.add_parser("stats")
     e = s.add_parser("export")
     e.add_argument("--output", required=True)
-    e.add_argument("--format", choices=["csv", "json"], default="csv")
+    e.add_argument("--format", choices=["csv", "json", "jsonl"], default="csv")
     h = s.add_parser("export-html")
     h.add_argument("--output", required=True)
     h.add_argument("--limit", type=int, default=None)
@@ -85,17 +87,19 @@ def main(argv: list[str] | None = None) -> int:
         if a.no_resume or not tables.table("frontier").limit(1).count():
             seeds = stores.seeds(spark, a.store).withColumn("seq", F.monotonically_increasing_id())
             tables.add_to_frontier(frontier.admit(seeds.select("seq", "url", "depth"), tables.table("frontier")))
-        print(waves.crawl(tables, lambda urls: web.fetch(urls, delay=a.delay), a.max_pages, a.concurrent, progress=print))
+        stopped = []
+        signal.signal(signal.SIGINT, lambda *_: stopped.append(True))  # the wave under way is finished
+        print(waves.crawl(tables, lambda urls: web.fetch(urls if a.delay is None else urls.drop("delay"), delay=a.delay or 0), a.max_pages, a.concurrent, progress=print, robots=None if a.no_robots else web.robots, stop=lambda: bool(stopped)))
     elif a.command == "stats":
         report.totals(pages, products).show()
         report.counts(pages, "domain").show()
         frontier.status_counts(tables.table("frontier")).show()
     elif a.command == "export":
-        write = S.write_csv if a.format == "csv" else S.write_json
+        write = S.write_csv if a.format == "csv" else lambda df, path: S.write_json(df, path, array=a.format == "json")
         write(S.export_pages(pages), f"{a.output}/pages")
         write(S.export_products(products, pages), f"{a.output}/products")
     elif a.command == "export-html":
-        S.export_html(pages, a.output, a.limit)
+        print(S.export_html(pages, a.output, a.limit))
     elif a.command == "clean":
         if not a.yes:
             print("nothing removed: --yes confirms", file=sys.stderr)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.functions.wordlists import STOPWORDS, SUFFIXES
@@ -34,7 +34,7 @@ def strip_accents(text: Column | str) -> Column:
 
 
 def is_word(word: Column) -> Column:
-    return (F.length(word) >= SHORTEST) & (F.length(word) <= LONGEST) & ~word.rlike(rf"^\p{{Nd}}{{{LONGEST_NUMBER + 1},}}$")
+    return (F.length(word) >= SHORTEST) & (F.length(word) <= LONGEST) & ((F.length(word) <= LONGEST_NUMBER) | ~word.rlike(rf"^\p{{Nd}}{{{LONGEST_NUMBER + 1},}}$"))
 
 
 def words(text: Column | str) -> Column:
@@ -45,12 +45,31 @@ def words(text: Column | str) -> Column:
 
 def stem(word: Column) -> Column:
     """The word without its longest listed ending, if three characters are left."""
-    return F.regexp_replace(word, STEM_RE, "$1")
+    out, ascii_endings = word, [s for s in SUFFIXES if s.isascii()]
+    for k in sorted({len(s) for s in ascii_endings}):  # the last test comes first: the longest ending
+        held = (F.length(word) >= SHORTEST_STEM + k) & F.substring(word, -k, k).isin(sorted({s for s in ascii_endings if len(s) == k}))
+        out = F.when(held, F.substring(word, F.lit(1), F.length(word) - k)).otherwise(out)
+    return out
+
+
+def plain_words(text: Column | str) -> Column:
+    """The words with their accents off. A letter stays one letter, so that this can be done in the whole text; words have no marks."""
+    found = F.regexp_extract_all(F.translate(F.lower(_c(text)), ACCENTED, PLAIN), F.lit(f"({TOKEN_RE})"), F.lit(1))
+    return F.filter(found, is_word)
+
+
+def term_rows(docs: DataFrame, text: Column, stopwords: bool = True, stemming: bool = True) -> DataFrame:
+    """doc_id, pos, term: the terms of each text as rows, with ascending places. Unlike array functions, all of it is compiled."""
+    found = F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(f"({TOKEN_RE})"), F.lit(1))
+    rows = docs.select("doc_id", F.posexplode(found).alias("pos", "word")).where(is_word(F.col("word")))
+    if stopwords:
+        rows = rows.where(~F.col("word").isin(STOP))
+    return rows.select("doc_id", "pos", (stem(F.col("word")) if stemming else F.col("word")).alias("term")).where(F.length("term") >= SHORTEST)
 
 
 def terms(text: Column | str, stopwords: bool = True, stemming: bool = True) -> Column:
     """Terms of a text in order: words, accents off, stop words out, stems of two characters or more."""
-    found = F.transform(words(text), strip_accents)
+    found = plain_words(text)
     if stopwords:
         found = F.filter(found, lambda w: ~w.isin(STOP))
     if stemming:

@@ -1,21 +1,23 @@
 """Inverted index and BM25 search: aggregates, joins and top-k.
 
 The corpus is ``docs(doc_id, url, title, text, domain, is_product, category)``. Terms get numbers in order of first
-occurrence over documents by id; the numbers come from a range partition and per-partition offsets, not from one task.
+occurrence over documents by id; the numbers come from ranges of equal size and their offsets, not from one task.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.functions import text as X
+from garimpo.sources import scratch
 
 K1, B = 1.5, 0.75
-SHARDS = 256
+SHARDS, SHARD_DIRS = 256, 16
 TITLE_WEIGHT, TITLE_SHOWN, SHORTEST_TEXT = 3, 200, 50
 
 
@@ -35,7 +37,7 @@ def occurrences(docs: DataFrame, stopwords: bool = True, stemming: bool = True)
     A document's terms meet in the partial aggregate, so that the shuffle has a row for each distinct term.
     """
     text = F.concat(F.repeat(F.concat(F.coalesce("title", F.lit("")), F.lit(" ")), TITLE_WEIGHT), F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.posexplode(X.terms(text, stopwords, stemming)).alias("pos", "term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    return X.term_rows(docs, text, stopwords, stemming).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
 
 
 def lengths(found: DataFrame) -> DataFrame:
@@ -49,38 +51,57 @@ def vocabulary(found: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, parts: int = 64) -> DataFrame:
-    """A number from 0 on by ``order``: rows get a number within equal ranges of a hash-free first key, and each range's offset."""
+    """A number from 0 on by ``order``: rows get a number within ranges of the first key, and each range's offset.
+
+    The ranges are cut at estimated quantiles, once, so that they are of about equal size; their cuts, ``parts`` numbers,
+    come to the driver. Where they lie doesn't change the numbers.
+    """
     first = order[0].cast("long")
-    span = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
-    placed = df.crossJoin(F.broadcast(span)).withColumn("_part", F.coalesce(F.floor((first - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1)), F.lit(0)).cast("int"))
+    cuts = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    place = F.lit(0)
+    for cut in sorted(set(cuts)):
+        place = place + (first > cut).cast("int")
+    placed = df.withColumn("_part", F.coalesce(place, F.lit(0)))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     ranked = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return ranked.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_rn") - 1).drop("_part", "_base", "_rn", "lo", "hi")
+    # a row for each of ``parts`` ranges
+    return ranked.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_rn") - 1).drop("_part", "_base", "_rn")
 
 
 def build(docs: DataFrame, stopwords: bool = True, stemming: bool = True, shortest: int = SHORTEST_TEXT) -> Index:
-    """Meta, vocabulary, documents and postings of the documents whose text has over ``shortest`` characters and a term."""
+    """Meta, vocabulary, documents and postings of the documents whose text has over ``shortest`` characters and a term.
+
+    The texts are read once: terms and vocabulary are written to the shared scratch folder, and all tables come from there.
+    """
+    spark, path = docs.sparkSession, temporary(scratch.folder(docs.sparkSession))
     docs = docs.where(F.length("text") > shortest)
-    found = occurrences(docs, stopwords, stemming)
-    vocab = vocabulary(found)
+    occurrences(docs, stopwords, stemming).write.parquet(f"{path}/occurrences")
+    found = spark.read.parquet(f"{path}/occurrences")
+    vocabulary(found).write.parquet(f"{path}/vocab")
+    vocab = spark.read.parquet(f"{path}/vocab")
     shown = docs.join(lengths(found), "doc_id").select("doc_id", "url", F.substring("title", 1, TITLE_SHOWN).alias("title"), "domain", "dl", "is_product", "category")
-    postings = found.join(vocab.select("term", "id"), "term").select(F.pmod("id", F.lit(SHARDS)).cast("int").alias("shard"), F.col("id").alias("term_id"), "doc_id", "tf")
+    postings = found.join(vocab.select("term", "id"), "term").select(shard("id").alias("shard"), F.col("id").alias("term_id"), "doc_id", "tf")
     return Index(meta(found, shown, stopwords, stemming), vocab.withColumn("raw", F.col("term")), shown, postings, stopwords, stemming)
 
 
+def shard(term_id: Column | str) -> Column:
+    return F.pmod(term_id, F.lit(SHARDS)).cast("int")
+
+
 def meta(found: DataFrame, docs: DataFrame, stopwords: bool = True, stemming: bool = True) -> DataFrame:
     totals = found.agg(F.count(F.lit(1)).alias("total_postings"), F.countDistinct("term").alias("total_terms"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"), F.countDistinct("doc_id").alias("total_docs"))
     return totals.select("total_docs", "total_terms", "total_postings", F.round(F.col("tokens") / F.greatest("total_docs", F.lit(1)), 2).alias("avg_dl"), F.lit(stopwords).alias("use_stopwords"), F.lit("suffix" if stemming else "none").alias("stemmer"))
 
 
-def save(index: Index, path: str, shard_dirs: int = 16) -> None:
-    """Four Parquet tables; postings in ``shard_dirs`` folders by shard, sorted by shard and term for pruning in files."""
+def save(index: Index, path: str) -> None:
+    """Four Parquet tables. Postings lie in SHARD_DIRS folders by shard and are sorted by shard and term, the vocabulary is sorted by term: a search opens the folders, files and row groups that have its terms."""
     index.meta.write.mode("overwrite").parquet(f"{path}/meta")
-    index.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    index.vocab.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    dealt = index.postings.withColumn("bucket", F.pmod("shard", F.lit(shard_dirs)))
-    dealt.repartition("bucket", F.pmod("doc_id", F.lit(8))).sortWithinPartitions("bucket", "shard", "term_id", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    dealt = index.postings.withColumn("bucket", F.pmod("shard", F.lit(SHARD_DIRS)))
+    # terms of a folder are dealt by ranges, so that a file has few of them; a very common term fills several files
+    dealt.repartitionByRange("bucket", "shard", "term_id", "doc_id").sortWithinPartitions("bucket", "shard", "term_id", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -101,27 +122,39 @@ def is_ready(index: Index) -> bool:
     return all(df.limit(1).count() for df in (index.meta, index.vocab, index.docs))
 
 
-def query_terms(spark: SparkSession, query: str, index: Index) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array_distinct(X.terms(F.lit(query), index.stopwords, index.stemming))).alias("term"))
+def query_terms(spark: SparkSession, query: str, index: Index) -> list[str]:
+    """The distinct terms of a query."""
+    return spark.range(1).select(F.array_distinct(X.terms(F.lit(query), index.stopwords, index.stemming))).first()[0]
+
 
+def known_terms(index: Index, terms: list[str]) -> list[Row]:
+    """term, id and df of those of a query's terms that the vocabulary has."""
+    return index.vocab.where(F.col("term").isin(terms)).select("term", "id", "df").collect() if terms else []
 
-def postings_of(index: Index, term_ids: DataFrame) -> DataFrame:
-    """Postings of the terms ``term_ids(term_id)``; their shards prune the scan."""
-    return index.postings.join(F.broadcast(term_ids.withColumn("shard", F.pmod("term_id", F.lit(SHARDS)).cast("int"))), ["shard", "term_id"])
+
+def postings_of(index: Index, ids: list[int]) -> DataFrame:
+    """Postings of the terms with these ids. The ids stand in the plan, so that folders and row groups of other shards aren't read."""
+    shards = sorted({k % SHARDS for k in ids})
+    some = F.col("shard").isin(shards) & F.col("term_id").isin(sorted(ids))
+    if "bucket" in index.postings.columns:
+        some &= F.col("bucket").isin(sorted({k % SHARD_DIRS for k in shards}))
+    return index.postings.where(some if ids else F.lit(False))
 
 
 def search(index: Index, query: str, top_k: int = 10, domain: str | None = None) -> DataFrame:
     """rank, doc_id, score (4 decimals), url, title, domain, is_product and category of the ``top_k`` best documents by BM25.
 
     Unknown terms count for nothing; a query without known terms has no rows; ``domain`` keeps documents whose domain
-    contains it, while frequencies stay those of the corpus; equal scores go by doc_id.
+    contains it, while frequencies stay those of the corpus; equal scores go by doc_id. A query's terms, a few rows of
+    the vocabulary and of meta, come to the driver.
     """
-    spark = index.docs.sparkSession
-    # a query's terms and the one row of meta are a few rows
-    known = F.broadcast(query_terms(spark, query, index)).join(index.vocab, "term").crossJoin(F.broadcast(index.meta.select("total_docs", "avg_dl")))
-    weighted = known.select(F.col("id").alias("term_id"), F.pmod("id", F.lit(SHARDS)).cast("int").alias("shard"), "avg_dl", F.log((F.col("total_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    known = known_terms(index, query_terms(index.docs.sparkSession, query, index))
+    corpus = index.meta.select("total_docs", "avg_dl").first() if known else None
+    idf = F.lit(None).cast("double")
+    for r in known:
+        idf = F.when(F.col("term_id") == r.id, math.log((corpus.total_docs - r.df + 0.5) / (r.df + 0.5) + 1)).otherwise(idf)
     docs = index.docs.where(F.contains("domain", F.lit(domain))) if domain else index.docs
-    hits = index.postings.join(F.broadcast(weighted), ["shard", "term_id"]).join(docs.select("doc_id", "dl"), "doc_id")
+    hits = postings_of(index, [r.id for r in known]).select("doc_id", "tf", idf.alias("idf"), F.lit(corpus.avg_dl if corpus else 1.0).alias("avg_dl")).join(docs.select("doc_id", "dl"), "doc_id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     best = hits.groupBy("doc_id").agg(F.sum(part).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(top_k)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")))
@@ -132,18 +165,17 @@ def matching(index: Index, all_of: str = "", any_of: str = "", none_of: str = ""
     """doc_ids of boolean retrieval: with every term of ``all_of``, some of ``any_of`` and none of ``none_of``."""
     spark = index.docs.sparkSession
 
-    def having(query: str) -> DataFrame:
-        ids = query_terms(spark, query, index).join(index.vocab, "term", "left").select(F.col("id").alias("term_id"))
-        return postings_of(index, ids.where("term_id is not null"))
+    def having(terms: list[str]) -> DataFrame:
+        return postings_of(index, [r.id for r in known_terms(index, terms)])
 
     out = index.docs.select("doc_id")
     if all_of:
-        n = query_terms(spark, all_of, index).count()
-        out = out.join(having(all_of).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n), "doc_id", "left_semi")
+        wanted = query_terms(spark, all_of, index)
+        out = out.join(having(wanted).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)), "doc_id", "left_semi")
     if any_of:
-        out = out.join(having(any_of), "doc_id", "left_semi")
+        out = out.join(having(query_terms(spark, any_of, index)), "doc_id", "left_semi")
     if none_of:
-        out = out.join(having(none_of), "doc_id", "left_anti")
+        out = out.join(having(query_terms(spark, none_of, index)), "doc_id", "left_anti")
     return out
 
 

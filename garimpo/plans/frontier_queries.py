@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from garimpo.operators import frontier as FR
 from garimpo.operators import report as R
 from garimpo.plans.url_queries import normalize_sql
 from garimpo.plans.views import DOMAIN_SQL, HOST_SQL, REQUESTS_SQL, repr_sql, requests, t
-from garimpo.sources import web
+from garimpo.sources import scratch, web
 from garimpo.streaming import waves
 
 #: Shops for the given pages' hosts.
@@ -135,9 +134,7 @@ def o73_crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = urls.join(pages, "url", "left")
         return found.select("url", F.when(F.col("html").isNotNull(), 200).otherwise(404).alias("status_code"), F.lit("text/html").alias("content_type"), "html", F.length("html").alias("content_length"), F.lit(1).alias("crawl_time_ms"), F.lit(None).cast("string").alias("error"))
 
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="garimpo-crawl-")
-    store = Tables(spark, f"{base}/crawl-{uuid.uuid4().hex}")
+    store = Tables(spark, f"{scratch.folder(spark)}/crawl-{uuid.uuid4().hex}")
     seeds = spark.createDataFrame([(0, "https://www.kabum.com.br/hardware", 0)], "seq long, url string, depth int")
     store.add_to_frontier(FR.admit(seeds, store.table("pages")))
     waves.crawl(store, fetch, 10, 5)

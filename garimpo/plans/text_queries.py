@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from garimpo.functions import text as X
 from garimpo.operators import index as I
 from garimpo.plans.views import corpus, sql_list, t
+from garimpo.sources import scratch
 
 QUERY = "the ou des"
 SEARCHES = ["the of and", "die und der", "que los de en"]
@@ -57,48 +58,58 @@ def o54j_document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count(F.lit(1)).alias("terms"), F.max("tf").alias("most"))
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, again: bool = False) -> I.Index:
+    """The index of a folder's documents, built and written once in a session, read from its files."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if again or key not in _SAVED or not scratch.exists(spark, _SAVED[key]):
+        path = I.temporary(scratch.folder(spark))
+        I.save(I.build(corpus(spark, sf_dir)), path)
+        _SAVED[key] = path
+    return I.load(spark, _SAVED[key])
+
+
 def o54k_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.build(corpus(spark, sf_dir)).vocab.select("term", "id", "df")
 
 
 def o54l_index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.build(corpus(spark, sf_dir)).meta.select("total_docs", "total_terms", "total_postings", "avg_dl")
+    return saved(spark, sf_dir).meta.select("total_docs", "total_terms", "total_postings", "avg_dl")
 
 
 def o54m_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.top_terms(I.build(corpus(spark, sf_dir)))
+    return I.top_terms(saved(spark, sf_dir))
 
 
 def o54m_df_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.df_statistics(I.build(corpus(spark, sf_dir)))
+    return I.df_statistics(saved(spark, sf_dir))
 
 
 def o18_index_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index written, read again, and its postings counted by shard."""
-    import tempfile
-
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = I.temporary(found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="garimpo-index-"))
-    I.save(I.build(corpus(spark, sf_dir)), path)
-    return I.load(spark, path).postings.groupBy("shard").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term_id").alias("terms"))
+    """The index built, written, read again, and its postings counted by shard."""
+    return saved(spark, sf_dir, again=True).postings.groupBy("shard").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"), F.countDistinct("term_id").alias("terms"))
 
 
 def o57_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.search(I.build(corpus(spark, sf_dir)), QUERY, 10).select("rank", "doc_id", "score", "domain")
+    return I.search(saved(spark, sf_dir), QUERY, 10).select("rank", "doc_id", "score", "domain")
 
 
 def o57_bm25_domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.search(I.build(corpus(spark, sf_dir)), "the and die", 5, domain="src1").select("rank", "doc_id", "score", "domain")
+    return I.search(saved(spark, sf_dir), "the and die", 5, domain="src1").select("rank", "doc_id", "score", "domain")
 
 
 def o52c_term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = I.build(corpus(spark, sf_dir))
-    ids = I.query_terms(spark, QUERY, index).join(index.vocab, "term").select("term", F.col("id").alias("term_id"))
-    return I.postings_of(index, ids).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"))
+    index = saved(spark, sf_dir)
+    known = I.known_terms(index, I.query_terms(spark, QUERY, index))
+    names = spark.createDataFrame([(r.id, r.term) for r in known], "term_id long, term string")
+    # a query's few terms
+    return I.postings_of(index, [r.id for r in known]).join(F.broadcast(names), "term_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"))
 
 
 def o71_boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.matching(I.build(corpus(spark, sf_dir)), all_of="the and", any_of="with from", none_of="die")
+    return I.matching(saved(spark, sf_dir), all_of="the and", any_of="with from", none_of="die")
 
 
 def o72_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

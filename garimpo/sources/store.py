@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +56,34 @@ class Store:
         added = self.table("products").where(F.col("id") > before)
         self.append("price_history", added.where("price is not null and price != 0").select(F.col("id").alias("product_id"), "price", F.col("first_seen").alias("recorded_at")), ["product_id"])
 
+    def _read(self, name: str, kinds: str) -> DataFrame:
+        return self.spark.read.schema(kinds).parquet(f"{self.path}/{name}") if self._there(name) else self.spark.createDataFrame([], kinds)
+
+    def robots_of(self, hosts: DataFrame, get: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """host and text of robots.txt for hosts(host, scheme); each host is asked once and for good."""
+        known = self._read("robots", "host string, text string")
+        new = hosts.dropDuplicates(["host"]).join(known, "host", "left_anti")
+        if new.limit(1).count():
+            get(new).select("host", "text").write.mode("append").parquet(f"{self.path}/robots")
+            known = self._read("robots", "host string, text string")
+        return known.join(hosts.select("host"), "host", "left_semi").groupBy("host").agg(F.max("text").alias("text"))
+
+    def last_asked(self) -> DataFrame:
+        """host and last_at, seconds since 1970."""
+        return self._read("hosts", "host string, last_at double").groupBy("host").agg(F.max("last_at").alias("last_at"))
+
+    def note_asked(self, hosts: DataFrame) -> None:
+        hosts.select("host", F.unix_micros(F.current_timestamp()).cast("double").alias("at")).select("host", (F.col("at") / 1e6).alias("last_at")).write.mode("append").parquet(f"{self.path}/hosts")
+
+    def keep_fetched(self, results: DataFrame) -> DataFrame:
+        """What was fetched, written and read again."""
+        path = f"{self.path}/fetched/{uuid.uuid4().hex}"
+        results.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def save_links(self, links: DataFrame) -> None:
-        """links(source_page_id, pos, url, anchor_text)."""
+        """links(source_page_id, pos, url, anchor_text) of pages whose links aren't there yet."""
+        links = links.join(self.table("links").select("source_page_id").distinct(), "source_page_id", "left_anti")
         made = links.select("source_page_id", "pos", F.col("url").alias("target_url"), U.hash_url("url").alias("target_url_hash"), F.substring("anchor_text", 1, ANCHOR).alias("anchor_text"), F.localtimestamp().alias("discovered_at"))
         self.append("links", made, ["source_page_id", "pos"])
 
@@ -85,12 +116,42 @@ def file_name(domain: str = "domain", page_id: str = "id"):
     return F.format_string("%s/%06d.html", F.col(domain), F.col(page_id))
 
 
-def export_html(pages: DataFrame, path: str, limit: int | None = None) -> None:
-    """The HTML by domain, and an index of JSON lines; pages without HTML are left out before the limit counts."""
+def write_files(files: DataFrame, path: str) -> int:
+    """A file of each row of files(file, content) under ``path``, written where the row is; how many there are.
+
+    A task that is tried again writes the same files. ``path`` is a folder that all executors reach: a file system that
+    pyarrow knows, or a shared local one.
+    """
+    base = path if "://" in path else os.path.abspath(path.removeprefix("file:"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(base)
+        made: set[str] = set()
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                folder = f"{root}/{r.file}".rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{root}/{r.file}") as f:
+                    f.write(r.content.encode("utf-8", "replace"))
+            yield pd.DataFrame({"file": frame["file"]})
+
+    return files.select("file", "content").mapInPandas(run, "file string").count()
+
+
+def export_html(pages: DataFrame, path: str, limit: int | None = None) -> int:
+    """Each page's HTML in a file of its own, ``domain/000042.html``, and an index of JSON lines that names them; how many.
+
+    Pages without HTML are left out before the limit counts.
+    """
     some = pages.where("html_content is not null and html_content != ''")
     some = some.orderBy("id").limit(limit) if limit else some
-    some.select("domain", F.col("html_content").alias("value")).write.mode("overwrite").partitionBy("domain").text(f"{path}/html")
-    some.select(html_index_json().alias("value")).write.mode("overwrite").text(f"{path}/index")
+    n = write_files(some.select(file_name().alias("file"), F.col("html_content").alias("content")), path)
+    some.select(html_index_json().alias("value")).write.mode("overwrite").text(f"{path}/index.jsonl")
+    return n
 
 
 def html_index_json():
@@ -111,6 +172,14 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines with NULL fields kept."""
+def write_json(df: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines with NULL fields kept; or one array in one file, for tables that one task can write."""
+    if array:
+        fields = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        numbered = df.select(fields.alias("row"), F.monotonically_increasing_id().alias("n")).coalesce(1).sortWithinPartitions("n")
+        first = F.lag("row").over(Window.orderBy("n")).isNull()
+        last = F.lead("row").over(Window.orderBy("n")).isNull()
+        lines = numbered.select("n", F.concat(F.when(first, "[\n").otherwise(""), F.col("row"), F.when(last, "\n]").otherwise(",")).alias("value"))
+        (lines.select("value") if df.limit(1).count() else df.sparkSession.range(1).select(F.lit("[]").alias("value"))).coalesce(1).write.mode("overwrite").text(path)
+        return
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -58,21 +58,27 @@ def fetch_one(url: str, get: Callable = http_get, wait: Callable = time.sleep) -
 
 
 def fetch(urls: DataFrame, get: Callable = http_get, delay: float = 0.2, hosts: int = 64) -> DataFrame:
-    """Fetch ``urls(url, host)``: a host's pages in one task, one after another with ``delay`` seconds between."""
+    """Fetch ``urls(url, host)``: a host's pages in one task, one after another with ``delay`` seconds between.
+
+    A column ``delay`` has the seconds for each page instead, and a column ``last_at`` when the host was last asked
+    before (seconds since 1970, NULL if never).
+    """
+    columns = ["url", "host", F.col("delay").cast("double").alias("delay") if "delay" in urls.columns else F.lit(float(delay)).alias("delay"), F.col("last_at").cast("double").alias("last_at") if "last_at" in urls.columns else F.lit(None).cast("double").alias("last_at")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                pause = last.get(r.host, 0) + delay - time.time()
+                before = last.get(r.host, r.last_at if r.last_at == r.last_at and r.last_at is not None else 0)
+                pause = before + r.delay - time.time()
                 if pause > 0:
                     time.sleep(pause)
                 last[r.host] = time.time()
                 rows.append(fetch_one(r.url, get))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
-    return urls.select("url", "host").repartition(hosts, "host").mapInPandas(run, RESULT)
+    return urls.select(*columns).repartition(hosts, "host").mapInPandas(run, RESULT)
 
 
 def robots(hosts: DataFrame, get: Callable = http_get) -> DataFrame:

@@ -12,19 +12,33 @@ from garimpo.functions import url as U
 from garimpo.operators import frontier as FR
 from garimpo.operators.products import products as product_rows
 from garimpo.sources.store import Store
-from garimpo.sources.web import accepted
+from garimpo.sources.web import accepted, robots_udf
 
 
-def wave(store: Store, fetch: Callable[[DataFrame], DataFrame], size: int, stores=None) -> int:
-    """One wave: schedule, skip pages that are there, fetch, store pages, products and links, admit new URLs, set statuses. Pages fetched."""
+def wave(store: Store, fetch: Callable[[DataFrame], DataFrame], size: int, stores=None, robots: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """One wave: schedule, skip pages that are there or that robots.txt bars, fetch, store pages, products and links, admit new URLs, set statuses. URLs tried.
+
+    ``fetch`` gets url, host, the shop's delay, and when the host was last asked. What it brought is written before
+    anything is made of it, and every table takes only what it lacks, so that no page is asked for twice.
+    """
     pending = store.table("frontier").join(_done(store), "url_hash", "left_anti")
     batch = FR.scheduled(pending.withColumn("seq", F.col("id")), size).join(store.table("pages").select("url_hash"), "url_hash", "left_anti")
-    batch = store.spark.createDataFrame(batch.collect(), batch.schema)  # ``size`` rows at most
-    results = fetch(batch.select("url", U.netloc("url").alias("host"))).persist()
+    rows = batch.collect()  # ``size`` rows at most
+    if not rows:
+        return 0
+    batch = store.spark.createDataFrame(rows, batch.schema).withColumn("host", U.netloc("url"))
+    asked = batch
+    if robots is not None:
+        path = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
+        rules = store.robots_of(batch.select("host", U.scheme("url").alias("scheme")).distinct(), robots)
+        asked = batch.join(F.broadcast(rules), "host", "left").where(robots_udf()("text", path)).drop("text")
+    urls = asked.join(F.broadcast(store.last_asked()), "host", "left").select("url", "host", FR.delay_of("url", stores).alias("delay"), "last_at")
+    results = store.keep_fetched(fetch(urls))
+    store.note_asked(urls.select("host").distinct())
     fine = accepted(results).join(batch.select("url", "depth"), "url")
     read = fine.withColumn("page", H.page_udf()("html", "url"))
     store.save_pages(read.select("url", "status_code", F.col("page.title").alias("title"), F.col("html").alias("html_content"), F.col("page.text").alias("text_content"), "depth", "crawl_time_ms", U.is_product_url("url", stores).alias("is_product_page")))
-    saved = store.table("pages").join(batch.select("url_hash"), "url_hash", "left_semi").persist()
+    saved = store.table("pages").join(batch.select("url_hash"), "url_hash", "left_semi")
     store.save_products(product_rows(saved.where("is_product_page").select(F.col("id").alias("page_id"), "url", F.col("html_content").alias("html"), "domain")))
     links = saved.select(F.col("id").alias("source_page_id"), "depth", F.posexplode(H.links("url", "html_content", stores)).alias("pos", "link")).select("source_page_id", "depth", "pos", "link.*")
     store.save_links(links)
@@ -32,10 +46,7 @@ def wave(store: Store, fetch: Callable[[DataFrame], DataFrame], size: int, store
     store.add_to_frontier(FR.admit(links.select("url", (F.col("depth") + 1).alias("depth"), (F.col("source_page_id") * 10_000 + F.col("pos")).alias("seq")), known, stores=stores))
     status = batch.select("url", "url_hash").join(results.select("url", F.when(F.expr("error is null and status_code = 200"), "done").otherwise("failed").alias("status")), "url", "left")
     status.select("url_hash", F.coalesce("status", F.lit("failed")).alias("status"), F.localtimestamp().alias("at")).write.mode("append").parquet(f"{store.path}/frontier_status")
-    n = results.count()
-    results.unpersist()
-    saved.unpersist()
-    return n
+    return len(rows)
 
 
 def _done(store: Store) -> DataFrame:
@@ -45,11 +56,11 @@ def _done(store: Store) -> DataFrame:
     return store.spark.read.parquet(f"{store.path}/frontier_status").select("url_hash").distinct()
 
 
-def crawl(store: Store, fetch: Callable[[DataFrame], DataFrame], max_pages: int, size: int = 25, stores=None, progress: Callable[[int], None] | None = None) -> int:
-    """Waves until ``max_pages`` pages are fetched or nothing is pending; begun again, it goes on."""
+def crawl(store: Store, fetch: Callable[[DataFrame], DataFrame], max_pages: int, size: int = 25, stores=None, progress: Callable[[int], None] | None = None, robots: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[], bool] = lambda: False) -> int:
+    """Waves until ``max_pages`` URLs are tried, nothing is pending, or ``stop`` says so between waves; begun again, it goes on."""
     total = 0
-    while total < max_pages:
-        n = wave(store, fetch, min(size, max_pages - total), stores)
+    while total < max_pages and not stop():
+        n = wave(store, fetch, min(size, max_pages - total), stores, robots)
         if not n:
             break
         total += n

@@ -110,7 +110,7 @@ def test_store_and_crawl(spark, sf, tmp_path, monkeypatch):
     assert store.table("products").count() == 2 and store.table("price_history").count() == 1
     assert max(len(r.name) for r in store.table("products").collect()) == 512
     S.export_html(store.table("pages"), str(tmp_path / "out"))
-    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/index")).collect()]
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/index.jsonl")).collect()]
     assert len(lines) == 1 and lines[0]["file"] == "x.com/000001.html"
     S.write_csv(S.export_products(store.table("products"), store.table("pages")), str(tmp_path / "csv"), single=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
@@ -145,3 +145,42 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["--data", str(tmp_path), "clean"]) == 1
     assert cli.main(["--data", str(tmp_path), "stats"]) == 0
     assert cli.main(["--data", str(tmp_path), "index", "search", "ssd"]) == 1
+
+
+def test_crawl_keeps_to_robots_and_delays(spark, tmp_path):
+    """A barred page is never asked for; delays and the last request reach the fetcher; HTML files lie where the index says."""
+    shop = [Store("s", "S", "x.com", ["/p/"], ["/no"], request_delay=1.5)]
+    site = {"http://x.com/": '<title>a</title><a href="p/1">1</a><a href="/secret/2">2</a><a href="?page_number=2">3</a>', "http://x.com/p/1": "<h1>Produto um</h1><p>line\nline", "http://x.com/?page_number=2": "x", "http://x.com/secret/2": "no"}
+    pages, asked = spark.createDataFrame(list(site.items()), "url string, html string"), []
+
+    def fetch(urls):
+        asked.extend(urls.collect())
+        found = urls.join(pages, "url", "left")
+        return found.select("url", F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), "html", F.length("html").alias("content_length"), F.lit(1).alias("crawl_time_ms"), F.lit(None).cast("string").alias("error"))
+
+    rules = []
+
+    def robots(hosts):
+        rules.extend(hosts.collect())
+        return hosts.select("host", F.lit(True).alias("fetched"), F.lit("User-agent: *\nDisallow: /secret/").alias("text"))
+
+    store = S.Store(spark, str(tmp_path / "s"))
+    store.add_to_frontier(FR.admit(spark.createDataFrame([(0, "http://x.com/", 0)], "seq long, url string, depth int"), store.table("pages"), stores=shop))
+    assert waves.crawl(store, fetch, 10, 5, shop, robots=robots) == 4
+    assert sorted(r.url for r in asked) == sorted(r.url for r in store.table("pages").collect())
+    assert len(asked) == 3 and len(rules) == 1 and {r.delay for r in asked} == {1.5}
+    assert asked[0].last_at is None and all(r.last_at > 0 for r in asked[1:])
+    assert store.table("links").count() == 3
+    n = S.export_html(store.table("pages"), str(tmp_path / "html"))
+    index = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "html" / "index.jsonl")).collect()]
+    assert n == len(index) == 3
+    for r in index:
+        text = (tmp_path / "html" / r["file"]).read_text()
+        assert r["file"] == f"x.com/{r['id']:06d}.html" and len(text) == r["content_length"]
+
+
+def test_json_array(spark, tmp_path):
+    for rows in ([], [(1, "a")], [(1, "a"), (2, None), (3, 'q"')]):
+        S.write_json(spark.createDataFrame(rows, "k long, x string").repartition(2, "k"), str(tmp_path / f"j{len(rows)}"), array=True)
+        text = "".join(p.read_text() for p in sorted((tmp_path / f"j{len(rows)}").glob("part-*")))
+        assert sorted((r["k"], r["x"]) for r in json.loads(text)) == rows
