@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -43,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    Where none is named, a local master gets one in the working folder; a cluster has none that its executors share,
-    so that there is an error.
+    Where none is named, a local master, which is one machine, gets a temporary folder (tests); on a cluster there is an
+    error, as its machines share none.
     """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
@@ -54,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = str(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).parent / "garimpo-checkpoints")
+        named = tempfile.mkdtemp(prefix="garimpo-checkpoint-")
     context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
