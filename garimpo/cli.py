@@ -50,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     x = s.add_parser("index").add_subparsers(dest="action", required=True)
     xb = x.add_parser("build")
     xb.add_argument("--no-stem", action="store_true")
+    xb.add_argument("--stemmer", choices=["suffix", "rslp"], default="suffix")
     xb.add_argument("--no-stopwords", action="store_true")
     x.add_parser("stats")
     xs = x.add_parser("search")
@@ -117,7 +118,7 @@ def main(argv: list[str] | None = None) -> int:
         report.products_by_domain(products, pages).show()
     elif a.action == "build":
         corpus = pages.select(F.col("id").alias("doc_id"), "url", "title", F.col("text_content").alias("text"), "domain", F.col("is_product_page").alias("is_product"), "category")
-        index.save(index.build(corpus, not a.no_stopwords, not a.no_stem), at)
+        index.save(index.build(corpus, not a.no_stopwords, False if a.no_stem else a.stemmer == "suffix" or a.stemmer), at)
         index.load(spark, at).meta.show()
     else:
         found = index.load(spark, at)

@@ -13,12 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from garimpo.functions import stemmer
 from garimpo.functions import text as X
 from garimpo.sources import scratch
 
 K1, B = 1.5, 0.75
 SHARDS, SHARD_DIRS = 256, 16
 TITLE_WEIGHT, TITLE_SHOWN, SHORTEST_TEXT = 3, 200, 50
+#: A value of ``stemming`` that takes the paper's stemmer instead of the list of endings, and its name in meta.
+PAPER = "rslp"
 
 
 @dataclass
@@ -28,16 +31,21 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     stopwords: bool = True
-    stemming: bool = True
+    stemming: bool | str = True
 
 
-def occurrences(docs: DataFrame, stopwords: bool = True, stemming: bool = True) -> DataFrame:
+def occurrences(docs: DataFrame, stopwords: bool = True, stemming: bool | str = True) -> DataFrame:
     """doc_id, term, tf and first place of each term of each document: the title three times, then the text.
 
-    A document's terms meet in the partial aggregate, so that the shuffle has a row for each distinct term.
+    A document's terms meet in the partial aggregate, so that the shuffle has a row for each distinct term. The paper's
+    stemmer, in Python, gets each distinct word of a document once; what it makes equal meets in a second aggregate.
     """
     text = F.concat(F.repeat(F.concat(F.coalesce("title", F.lit("")), F.lit(" ")), TITLE_WEIGHT), F.coalesce("text", F.lit("")))
-    return X.term_rows(docs, text, stopwords, stemming).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    found = X.term_rows(docs, text, stopwords, stemming is True).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    if stemming != PAPER:
+        return found
+    stems = found.withColumn("term", stemmer.stem_udf()("term")).where(F.length("term") >= X.SHORTEST)
+    return stems.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.min("pos").alias("pos"))
 
 
 def lengths(found: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def numbered(df: DataFrame, order: list[Column], name: str, parts: int = 64) ->
     return ranked.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_rn") - 1).drop("_part", "_base", "_rn")
 
 
-def build(docs: DataFrame, stopwords: bool = True, stemming: bool = True, shortest: int = SHORTEST_TEXT) -> Index:
+def build(docs: DataFrame, stopwords: bool = True, stemming: bool | str = True, shortest: int = SHORTEST_TEXT) -> Index:
     """Meta, vocabulary, documents and postings of the documents whose text has over ``shortest`` characters and a term.
 
     The texts are read once: terms and vocabulary are written to the shared scratch folder, and all tables come from there.
@@ -89,9 +97,9 @@ def shard(term_id: Column | str) -> Column:
     return F.pmod(term_id, F.lit(SHARDS)).cast("int")
 
 
-def meta(found: DataFrame, docs: DataFrame, stopwords: bool = True, stemming: bool = True) -> DataFrame:
+def meta(found: DataFrame, docs: DataFrame, stopwords: bool = True, stemming: bool | str = True) -> DataFrame:
     totals = found.agg(F.count(F.lit(1)).alias("total_postings"), F.countDistinct("term").alias("total_terms"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"), F.countDistinct("doc_id").alias("total_docs"))
-    return totals.select("total_docs", "total_terms", "total_postings", F.round(F.col("tokens") / F.greatest("total_docs", F.lit(1)), 2).alias("avg_dl"), F.lit(stopwords).alias("use_stopwords"), F.lit("suffix" if stemming else "none").alias("stemmer"))
+    return totals.select("total_docs", "total_terms", "total_postings", F.round(F.col("tokens") / F.greatest("total_docs", F.lit(1)), 2).alias("avg_dl"), F.lit(stopwords).alias("use_stopwords"), F.lit(PAPER if stemming == PAPER else "suffix" if stemming else "none").alias("stemmer"))
 
 
 def save(index: Index, path: str) -> None:
@@ -115,7 +123,7 @@ def load(spark: SparkSession, path: str) -> Index:
         there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
         tables[name] = spark.read.parquet(f"{path}/{name}") if there else spark.createDataFrame([], schema(name))
     first = tables["meta"].first()
-    return Index(**tables, stopwords=first is None or first["use_stopwords"], stemming=first is None or first["stemmer"] != "none")
+    return Index(**tables, stopwords=first is None or first["use_stopwords"], stemming=first is None or {PAPER: PAPER, "none": False}.get(first["stemmer"], True))
 
 
 def is_ready(index: Index) -> bool:
@@ -124,7 +132,10 @@ def is_ready(index: Index) -> bool:
 
 def query_terms(spark: SparkSession, query: str, index: Index) -> list[str]:
     """The distinct terms of a query."""
-    return spark.range(1).select(F.array_distinct(X.terms(F.lit(query), index.stopwords, index.stemming))).first()[0]
+    found = spark.range(1).select(F.array_distinct(X.terms(F.lit(query), index.stopwords, index.stemming is True))).first()[0]
+    if index.stemming != PAPER:
+        return found
+    return [t for t in dict.fromkeys(map(stemmer.stem, found)) if len(t) >= X.SHORTEST]
 
 
 def known_terms(index: Index, terms: list[str]) -> list[Row]:

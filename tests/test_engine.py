@@ -21,6 +21,17 @@ def index(spark):
     return I.build(docs)
 
 
+def test_index_with_the_paper_stemmer(spark, index, tmp_path):
+    docs = spark.createDataFrame([(1, "u1", None, "Processadores e processador, rapidamente comprados nas lojas de sempre", "x.com")], "doc_id long, url string, title string, text string, domain string").withColumn("is_product", F.lit(True)).withColumn("category", F.lit(None).cast("string"))
+    I.save(I.build(docs, stemming=I.PAPER), str(tmp_path / "i"))
+    made = I.load(spark, str(tmp_path / "i"))
+    assert made.meta.first().stemmer == "rslp" and made.stemming == "rslp"
+    tf = {r.term: r.tf for r in made.postings.join(made.vocab.select(F.col("id").alias("term_id"), "term"), "term_id").collect()}
+    assert tf["process"] == 2 and tf["rapid"] == 1
+    assert I.query_terms(spark, "processadores processador", made) == ["process"]
+    assert [h.doc_id for h in I.search(made, "processadores").collect()] == [1]
+
+
 def test_index_and_search(spark, index, tmp_path):
     m = index.meta.first()
     assert m.total_docs == 3  # one text is short, one has stop words only

@@ -72,8 +72,22 @@ def test_stem_agrees_with_the_ordered_scan(spark):
 
 
 def test_paper_stemmer(spark):
-    df = spark.createDataFrame([(["meninas", "rapidamente", "casas", "bonito"],)], "w array<string>")
-    assert df.select(stemmer.stems_udf()("w")).first()[0] == [stemmer.stem(w) for w in ["meninas", "rapidamente", "casas", "bonito"]] == ["menin", "rapid", "cas", "bonit"]
+    stems = {"meninas": "menin", "rapidamente": "rapid", "casas": "cas", "bonito": "bonit", "bons": "bom", "balões": "bal", "mais": "mais", "vida": "vid", "rainha": "rainh", "caminho": "caminh", "firmamento": "firmament", "camarão": "cam", "topázio": "topázi", "processadores": "process", "possível": "possível", "notáveis": "not", "virgem": "virgem", "s": "s", "": ""}
+    df = spark.createDataFrame([(w,) for w in stems] + [(None,)], "w string")
+    assert [r[0] for r in df.select(stemmer.stem_udf()("w")).collect()] == [*stems.values(), None]
+    # endings with accents are for accented words only
+    assert stemmer.stem("baloes") != stemmer.stem("balões")
+
+
+def test_paper_stemmer_takes_the_first_rule_that_holds():
+    for name, rules in stemmer.STEPS.items():
+        assert len({r[0] for r in rules}) == len(rules)
+        for k, (ending, least, to, but) in enumerate(rules):
+            word = "b" * least + ending
+            earlier = [r for r in rules[:k] if word.endswith(r[0]) and len(word) - len(r[0]) >= r[1]]
+            if not earlier:
+                assert stemmer._step(word, name) == "b" * least + to
+                assert all(stemmer._step(w, name) == w or any(w.endswith(r[0]) for r in rules if r[0] != ending) for w in but)
 
 
 @pytest.mark.parametrize(("text", "price"), [("R$ 1.234,56", 1234.56), ("1234.56", 1234.56), ("12.345,99", 12345.99), ("R$ 999,90", 999.9), ("abc", None), ("0", None), ("-1", None), ("2.000.000,00", None), ("1.234", 1.23), (None, None)])
