@@ -1,7 +1,7 @@
 """The Portuguese stemmer of Orengo and Huyck (2001), in the published order of steps.
 
 Words are taken as they are: endings with accents match accented words only, so that words whose accents are off, as in
-an index, keep them. The tables are typed from the publication; this repository holds no other copy to compare them with.
+an index, keep them. The tables are written from memory of the publication and were not compared with a copy of it.
 """
 
 from __future__ import annotations
