@@ -20,6 +20,8 @@ from garimpo.streaming import waves
 HOSTS = [Store("com", "Com", "example.com", [r"/en/\d+"], [r"/en/9\d\d"]), Store("net", "Net", "example.net", [r"\.html"], ["spam"], enabled=True), Store("org", "Org", "example.org", ["/never/"], ["#x"], enabled=False)]
 RULES = [("8", "/a", False), ("8", "/a/b", True), ("46", "/", False), ("7", "/x", False)]
 DELAY = 4000.0
+#: How much earlier than the newest event one may be and still count; the state holds the windows of that time.
+LATE = "3650 days"
 
 
 def o53_permitted_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,26 +103,30 @@ def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("host"), F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"), F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), (F.col("event_id") % 40).cast("string")), 256).alias("url_hash"))
 
 
-def _name(kind: str) -> str:
-    return f"garimpo_{kind}_{uuid.uuid4().hex}"
+def _places(spark: SparkSession, kind: str) -> tuple[str, str]:
+    """Folders of a stream's rows and of its checkpoint, both shared."""
+    at = f"{scratch.folder(spark)}/stream-{kind}-{uuid.uuid4().hex}"
+    return f"{at}/rows", f"{at}/checkpoint"
 
 
 def o75_stream_fresh_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = _name("fresh")
-    waves.to_memory(waves.fresh_urls(_events_stream(spark, sf_dir).select("url_hash", "host")), name)
-    return spark.table(name)
+    rows, checkpoint = _places(spark, "fresh")
+    waves.to_table(waves.fresh_urls(_events_stream(spark, sf_dir).select("url_hash", "host")), rows, checkpoint)
+    return spark.read.schema("url_hash string, host string").parquet(rows)
 
 
 def o54o_stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = _name("rates")
-    waves.to_memory(waves.rates(_events_stream(spark, sf_dir), "1 hour"), name, "complete")
-    return spark.table(name).groupBy("minute").agg(F.sum("pages").alias("pages"), F.sum("failed").alias("failed"))
+    """The files come in any order of time: nothing within LATE of the newest event is too late to be counted."""
+    rows, checkpoint = _places(spark, "rates")
+    waves.to_versions(waves.rates(_events_stream(spark, sf_dir), "1 hour", LATE), rows, checkpoint)
+    versions = spark.read.schema("minute timestamp, domain string, pages long, failed long, batch long").parquet(rows)
+    return waves.newest(versions, "minute", "domain").groupBy("minute").agg(F.sum("pages").alias("pages"), F.sum("failed").alias("failed"))
 
 
 def o53_stream_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = _name("paced")
-    waves.to_memory(waves.paced(_events_stream(spark, sf_dir).select("host", "seq", F.col("at").cast("double").alias("at")), DELAY), name)
-    return spark.table(name).select("seq", "host", F.round("go_at", 3).alias("go_at"))
+    rows, checkpoint = _places(spark, "paced")
+    waves.to_table(waves.paced(_events_stream(spark, sf_dir).select("host", "seq", F.col("at").cast("double").alias("at")), DELAY), rows, checkpoint)
+    return spark.read.schema("host string, seq long, at double, go_at double").parquet(rows).select("seq", "host", F.round("go_at", 3).alias("go_at"))
 
 
 def o73_crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,18 +100,21 @@ def paced(stream: DataFrame, delay: float) -> DataFrame:
     return stream.groupBy("host").applyInPandasWithState(run, "host string, seq long, at double, go_at double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
-    """Run a stream over what there is now into a table in memory; the finished query."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+def to_table(stream: DataFrame, path: str, checkpoint: str):
+    """Append a stream to Parquet; begun again with its checkpoint it goes on where it ended."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str):
-    """Append a stream to Parquet; begun again with its checkpoint it goes on where it ended."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_versions(stream: DataFrame, path: str, checkpoint: str):
+    """Write what each batch of an aggregated stream changed to a folder of its own; a batch that is run again replaces its folder."""
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/batch={k}")).start()
     q.awaitTermination()
     return q
 
 
+def newest(versions: DataFrame, *keys: str) -> DataFrame:
+    """The last version of each key's row."""
+    rest = [c for c in versions.columns if c not in (*keys, "batch")]
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch").cast("long")).alias("last")).select(*keys, "last.*")

@@ -150,6 +150,18 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert sorted(r.url_hash for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_versions_of_an_aggregated_stream(spark, tmp_path):
+    """Counts of a window go on over two runs, and its newest row has them all."""
+    src, out, at = (str(tmp_path / x) for x in ("src", "out", "at"))
+    schema = "at timestamp, domain string, status string"
+    for minute, status in ((1, "done"), (2, "failed")):
+        spark.sql(f"SELECT timestamp'2024-01-01 00:0{minute}:00' AS at, 'd' AS domain, '{status}' AS status").write.mode("append").parquet(src)
+        waves.to_versions(waves.rates(spark.readStream.schema(schema).parquet(src), "1 hour"), out, at)
+    versions = spark.read.parquet(out)
+    assert versions.select("batch").distinct().count() > 1
+    assert [(r.domain, r.pages, r.failed) for r in waves.newest(versions, "minute", "domain").collect()] == [("d", 2, 1)]
+
+
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["version"]) == 0
     assert cli.main(["categories"]) == 0 and "gpu" in capsys.readouterr().out
