@@ -304,6 +304,54 @@ def test_decontamination(spark, docs, empty):
     assert not by_id(decontaminate.decontaminate(extra, bench.limit(0)))[100].contaminated
 
 
+def plain_leaks(texts, items):
+    """Documents and items by the rule, over every place: {(doc, item)} for all windows of WINDOW words, and for those
+    that the operator searches, with STRIDE words more on both sides."""
+    D = decontaminate
+    split = lambda t: [w for w in (re.sub(r"[\W_]+", "", w.lower()) for w in words(t))]
+    docs = {k: split(t) for k, t in texts.items()}
+    passages = []
+    for i, t in items:
+        own, ends = [w for w in split(t) if w], [x for x in re.split(r"[.!?]+", t) if re.search(r"\w", x)]
+        answer = [w for w in split(ends[-1]) if w] if len(ends) > 1 else []
+        passages += [(i, own[b : b + D.PASSAGE], answer) for b in range(0, max(1, len(own) - D.PASSAGE // 2), D.PASSAGE // 2)]
+    df = Counter(w for d in docs.values() for w in set(d))
+    weigh = lambda ws: np.array([np.log((len(docs) + 1) / (df[w] + 1)) ** 2 + 1e-3 if w else 0.0 for w in ws])
+    names = {w: k + 1 for k, w in enumerate(sorted({w for d in docs.values() for w in d if w} | {w for _, p, a in passages for w in p + a}))}
+    code = lambda ws: np.array([names.get(w, 0) for w in ws], np.uint64)
+
+    def leak(d, b, e, p, answer):
+        share = D.common_weight(code(p), code(d[b:e]), weigh(p)) / weigh(p).sum()
+        wide, aw = d[max(0, b - D.WINDOW) : e + D.WINDOW], weigh(answer)
+        return share >= D.SHARE or (share >= D.PARAPHRASE and len(answer) > 0 and D.common_weight(code(answer), code(wide), aw) >= D.ANSWER * aw.sum())
+
+    def found(ranges):
+        return {(k, i) for k, d in docs.items() for i, p, answer in passages if any(set(p) & set(d[b:e]) and leak(d, b, e, p, answer) for b, e in ranges(len(d)))}
+
+    searched = lambda n: [(max(0, b - D.STRIDE), min(n, b + D.WINDOW + D.STRIDE)) for b in range(0, max(1, n - D.WINDOW + D.STRIDE), D.STRIDE)] if n else []
+    return found(lambda n: [(b, min(n, b + D.WINDOW)) for b in range(max(1, n - D.WINDOW + 1))] if n else []), found(searched)
+
+
+def test_leaks_brute_force(spark):
+    """Paraphrases from slight to heavy, with and without the answer: the operator finds what a search of all places finds."""
+    rng = np.random.default_rng(23)
+    text = lambda n: " ".join(f"w{int(x)}" for x in 900 * rng.random(n) ** 2)
+    items = [(k, f"{text(int(rng.integers(12, 40)))}. {text(5)}.") for k in range(6)] + [(6, text(100))]
+    texts = {}
+    for k in range(40):
+        own = items[k % 7][1].split()
+        keep = [w if rng.random() > k / 60 else f"x{int(rng.integers(500))}" for w in own]
+        keep[-5:] = own[-5:] if k % 2 else keep[-5:]
+        texts[k] = f"{text(int(rng.integers(0, 60)))} {' '.join(keep)} - {text(int(rng.integers(0, 60)))}"
+    texts |= {100: "", 101: None, 102: text(150), 103: items[0][1].upper()}
+    every, searched = plain_leaks(texts, items)
+    ship(spark)
+    found = decontaminate.leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == searched and every <= got
+    assert 10 < len(got) < 40
+
+
 def test_copies_of_many_passages_are_found(spark):
     """Whole items in other texts of the same words: every one is found, and no text without an item is."""
     rng = np.random.default_rng(21)
