@@ -15,9 +15,8 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator, Sequence
-from itertools import accumulate, chain
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import BATCH_BYTES, checkpoint_dir, coded, release, ship, sliced
+from garimpo.llm.common import BATCH_BYTES, checkpoint_dir, coded, mix64, release, ship, sliced
 
 MASK = 0xA282EAD8
 #: Bytes of text in a file, about, and records of a file at most.
 FILE_BYTES, FILE_RECORDS = 128 << 20, 20_000
-#: Distinct parts of text whose ids a worker keeps; beyond that it keeps those that came in two slices or more.
-CACHE = 300_000
+#: Distinct parts of text whose ids a worker keeps in a task, about, and from one task to the next at most.
+CACHE, CARRIED = 300_000, 150_000
+#: Bytes of a part that is kept for later slices at most, and new words that go to the model at once.
+KEY_BYTES, TOGETHER = 32, 4096
 
 
 def masked(crc: int) -> int:
@@ -93,6 +94,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -100,60 +102,93 @@ class Encoder:
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
-        self.model, self.chars = self.tok.model, _byte_chars()
+        self.width = None
+        model, chars = spec.get("model") or {}, _byte_chars()
+        vocab, others = model.get("vocab"), ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+        if self.cuts and model.get("type") == "BPE" and not any(model.get(k) for k in others) and all(c in vocab for c in chars.values()):
+            # bytes of each id, the same model between spaces alone, and each byte's character; a line end ends a word
+            self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.width[list(vocab.values())] = [len(t) for t in vocab]
+            self.between = Tokenizer(self.tok.model)
+            self.between.pre_tokenizer = CharDelimiterSplit(" ")
+            self.codes = np.array([ord(chars[b]) if b != ord("\n") else ord(" ") for b in range(256)], "<u2")
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.at, self.flat, self.seen = array("q", [0]), array("I"), array("I")
-
-    def _thin(self) -> None:
-        """Keep the parts that came again; all go where most did."""
-        kept = [(p, self.flat[self.at[k] : self.at[k + 1]], self.seen[k]) for p, k in self.place.items() if self.seen[k] > 1]
+        self.keys = np.empty((0, 1 + KEY_BYTES // 8), np.uint64)
+        self.at, self.flat, self.seen = np.zeros(1, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)  # in order of hashes
+
+    def thin(self, most: int) -> None:
+        """Keep ``most`` parts at most, of those that came again the ones that came most; what they counted halves."""
+        least = 2
+        while np.count_nonzero(again := self.seen >= least) > most:
+            least *= 2
+        kept = np.flatnonzero(again & (self.keys[:, 0] <= KEY_BYTES))
+        keys, seen, n = self.keys[kept], self.seen[kept] // 2, np.diff(self.at)[kept]
+        flat = spread(self.flat, self.at[kept], n)
         self.clear()
-        if kept and len(kept) < CACHE // 2:
-            self._store(*zip(*kept, strict=True))
+        self._store(keys, hashed(keys), flat, n, seen)
 
-    def _store(self, parts: Sequence[str], rows: Sequence[Sequence[int]], seen: Sequence[int]) -> None:
-        begin, end = len(self.seen), len(self.flat)
-        self.place.update(zip(parts, range(begin, begin + len(parts)), strict=True))
-        self.flat.extend(chain.from_iterable(rows))
-        self.at.extend(list(accumulate(map(len, rows), initial=end))[1:])
-        self.seen.extend(seen)
+    def _store(self, keys: np.ndarray, hashes: np.ndarray, flat: np.ndarray, n: np.ndarray, seen: np.ndarray) -> None:
+        begin = len(self.seen)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+        self.flat, self.keys, self.seen = np.concatenate([self.flat, flat]), np.concatenate([self.keys, keys]), np.concatenate([self.seen, seen])
+        short = np.flatnonzero(keys[:, 0] <= KEY_BYTES)
+        short = short[np.argsort(hashes[short])]
+        to = np.searchsorted(self.hashes, hashes[short])
+        self.hashes, self.slots = np.insert(self.hashes, to, hashes[short]), np.insert(self.slots, to, begin + short)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        tokenize, chars = self.model.tokenize, self.chars
-        easy, rows, hard = [], [], []
-        for p in parts:
-            if not (p[1:] if p[:1] == " " else p).isalpha():
-                hard.append(p)
-                continue
-            # one pre-token: the model needs no more than its bytes' characters
-            bare = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(chars)
-            easy.append(p)
-            rows.append([t.id for t in tokenize(bare)])
-        self._store(easy + hard, rows + self._whole(hard), [0] * len(parts))
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, of which each is one pre-token, one after another, and how many each has.
+
+        Many go to the model at once, as its bytes' characters between spaces. Their ids are dealt by the bytes that
+        each id stands for.
+        """
+        size = pc.binary_length(words).to_numpy().astype(np.int64)
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_buffer()
+        bare = self.codes[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.between.encode_batch_fast([bare], add_special_tokens=False)[0].ids, np.uint32)
+        ends, last = np.cumsum(self.width[ids]), np.cumsum(size)
+        upto = np.searchsorted(ends, last) + 1
+        if not len(ids) or upto[-1] != len(ids) or (ends[upto - 1] != last).any():
+            raise ValueError("the vocabulary's ids don't stand for all bytes of these words")
+        return ids, np.diff(upto, prepend=0)
+
+    def _learn(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The parts' order here, their ids one after another, and how many each has."""
+        easy = np.zeros(len(parts), bool)
+        if self.width is not None:
+            easy = pc.utf8_is_alpha(pc.utf8_ltrim(parts, " ")).to_numpy(zero_copy_only=False).astype(bool)
+        order = np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])
+        words, rows = parts.take(pa.array(order[: easy.sum()])), self._whole(parts.take(pa.array(order[easy.sum() :])).to_pylist())
+        found = [self._words(words.slice(i, TOGETHER)) for i in range(0, len(words), TOGETHER)]
+        ids = [x for x, _ in found] + [np.fromiter(chain.from_iterable(rows), np.uint32)]
+        return order, np.concatenate(ids), np.concatenate([n for _, n in found] + [np.array([len(x) for x in rows], np.int64)])
 
     def _places(self, parts: pa.Array) -> np.ndarray:
         """Where the ids of each part are kept."""
         codes, distinct = coded(parts)
-        strings = distinct.to_pylist()
-        if len(self.place) + len(strings) > CACHE:
-            self._thin()
-        get = self.place.get
-        places = np.array([get(p, -1) for p in strings], np.int32)
+        if len(self.seen) + len(distinct) > CACHE:
+            self.thin(CACHE // 2)
+        keys = byte_keys(distinct)
+        hashes = hashed(keys)
+        places = np.full(len(distinct), -1, np.int64)
+        if len(self.hashes):
+            near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            slot = self.slots[near]
+            held = (self.hashes[near] == hashes) & (self.keys[slot] == keys).all(1)
+            places[held] = slot[held]
+            self.seen[slot[held]] += 1
         new = np.flatnonzero(places < 0)
         if len(new):
-            begin = len(self.seen)
-            self._learn([strings[i] for i in new.tolist()])
-            fresh = [self.place[strings[i]] for i in new.tolist()]
-            assert len(self.seen) == begin + len(fresh)
-            places[new] = fresh
-        seen = np.frombuffer(self.seen, np.uint32)
-        seen[places] += 1
+            order, flat, n = self._learn(distinct.take(pa.array(new)))
+            new = new[order]
+            places[new] = len(self.seen) + np.arange(len(new))
+            self._store(keys[new], hashes[new], flat, n, np.ones(len(new), np.uint32))
         return places[codes]
 
     def _pieces(self, pieces: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +215,8 @@ class Encoder:
         part[other[with_marks], 2] = found[len(pieces) : -1]
         apart = other[split]
         part[apart[line[apart]], 0] = found[-1]
-        at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.empty(0, np.uint32)
-        n = np.where(part >= 0, at[part + 1] - at[part], 0)
-        ids = spread(flat, at[part].ravel(), n.ravel())
+        n = np.where(part >= 0, self.at[part + 1] - self.at[part], 0)
+        ids = spread(self.flat, self.at[part].ravel(), n.ravel())
         return ids, np.concatenate(([0], np.cumsum(n.sum(1))))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -223,6 +257,34 @@ def spread(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return flat[np.repeat((begin - (end - n)).astype(kind), n) + np.arange(total, dtype=kind)]
 
 
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def byte_keys(strings: pa.Array) -> np.ndarray:
+    """Length and bytes of each string as a row of numbers, zeros after its end: exact up to KEY_BYTES bytes."""
+    strings = strings.cast(pa.large_string())
+    out = np.zeros((len(strings), 1 + KEY_BYTES // 8), np.uint64)
+    if not len(strings):
+        return out
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    at, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    data = np.zeros(int(offsets[-1] - offsets[0]) + KEY_BYTES, np.uint8)
+    if len(data) > KEY_BYTES:
+        data[:-KEY_BYTES] = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    out[:, 0] = size
+    for k in range(KEY_BYTES // 8):
+        out[:, 1 + k] = eights[at + 8 * k] & _FIRST[np.clip(size - 8 * k, 0, 8)]
+    return out
+
+
+def hashed(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(keys), np.uint64)
+    for column in keys.T:
+        out = mix64(out ^ column)
+    return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -247,7 +309,7 @@ def write_records(docs: DataFrame, path: str, vocabulary_path: str, end_id: int)
             ids = enc.encode(batch.column(1).fill_null(""))
             out = [frame(pack(d, np.append(x, np.uint32(end_id))))[:-1] for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-        enc.clear()  # the worker lives on, and may do other work next
+        enc.thin(CARRIED)  # the worker lives on, and may do other work next
         release()
 
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import zlib
 from collections import Counter
 
@@ -229,6 +230,43 @@ def test_added_tokens_keep_their_ids(spark):
     assert [got[k].ids_crc32 for k in range(len(texts))] == [zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for x in want]
 
 
+def test_encoder_takes_words_together():
+    """Neither words that are new to it nor those it knows cost calls of their own."""
+    rng = np.random.default_rng(17)
+    new = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), (20_000, 9))]
+    texts = [" ".join(new[i : i + 500]) for i in range(0, len(new), 500)]
+    enc, calls = records.Encoder(records.vocabulary()), [0]
+    want = enc._whole(texts)
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    for _ in range(2):
+        calls[0] = 0
+        sys.setprofile(count)
+        try:
+            got = enc.encode(pa.array(texts))
+        finally:
+            sys.setprofile(None)
+        assert [x.tolist() for x in got] == want
+        assert calls[0] < len(new) // 4
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_encoder_tells_its_words_apart(monkeypatch, clash):
+    """Words over the length that is kept, zeros at a word's end, words that share a hash, and a store that is often thinned."""
+    if clash:
+        monkeypatch.setattr(records, "hashed", lambda keys: np.zeros(len(keys), np.uint64), raising=False)
+    monkeypatch.setattr(records, "CACHE", 60)
+    rng = np.random.default_rng(19)
+    pool = ["a", "a\0", "\0", "x" * 31, "x" * 32, "x" * 33, "x" * 32 + "y", "é" * 16, "é" * 17, "日本" * 9, "no", "No", "no.", "no..", "no1", "don't"]
+    pool += ["".join(x) for x in rng.choice(list("abcé"), (60, 5))]
+    enc = records.Encoder(records.vocabulary())
+    for k in range(40):
+        texts = [" ".join(pool[i] for i in rng.integers(0, len(pool), 12)) for _ in range(5)]
+        assert [x.tolist() for x in enc.encode(pa.array(texts, pa.large_string() if k % 2 else pa.string()))] == enc._whole(texts)
+
+
 def code_length(counts, text):
     """Prediction by partial matching, byte by byte."""
     data = b"\n" * ppm.ORDER + text.lower().encode()
