@@ -72,38 +72,50 @@ class Trees:
         self.lang, self.gram, self.n = lang.astype(np.int16), gram.astype(np.uint32), n.astype(np.int64)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
-        """Symbol of each byte; row of each context; costs by row * symbols + symbol, a column for each language; symbols.
+        """Symbol of each byte; row of each context; a row of costs for each language, by row * symbols + symbol; symbols.
 
         Symbol 0 stands for all bytes that no language has seen: they cost alike and no context has them. None if the
-        table would have more than MAX_CELLS cells.
+        table would have more than MAX_CELLS cells. Besides the table only one language's shorter contexts are held.
         """
         seen = np.unique(np.concatenate([self.gram & np.uint32(255), np.frombuffer(_PAD[:1], np.uint8).astype(np.uint32)]))
         a, count = len(seen) + 1, len(self.langs)
         contexts = sum(len(np.unique(self.gram >> np.uint32(8) & np.uint32((1 << 8 * k) - 1))) for k in range(ORDER + 1))
         if max((contexts + 1) * a * count, a**ORDER) > MAX_CELLS:
             return None
-        symbol = np.zeros(256, np.int64)
+        symbol = np.zeros(256, np.int32)
         symbol[seen] = np.arange(1, len(seen) + 1)
         parts = [symbol[(self.gram >> np.uint32(8 * j)) & np.uint32(255)] for j in range(ORDER, -1, -1)]  # oldest first
-        lower = np.full((1, a, count), np.log2(256.0))  # costs by context of the order before
-        index = np.zeros(1, np.int64)  # row of each context of the order before, by its number
+        index = np.zeros(1, np.int32)  # row of each context of the order before, by its number
+        rows, orders = 1, []  # of each order: its first row, the row of each gram's context, that of each context's suffix
         for order in range(ORDER + 1):
             ctx = np.zeros(len(self.gram), np.int64)
             for p in parts[ORDER - order : ORDER]:
                 ctx = ctx * a + p
             known, row = np.unique(ctx, return_inverse=True)
-            freq = np.zeros((len(known), a, count))
-            np.add.at(freq, (row, parts[ORDER], self.lang), self.n)
-            total, kinds = freq.sum(1, keepdims=True), (freq > 0).sum(1, keepdims=True)
-            suffix = index[known % a ** max(order - 1, 0)] if order else np.zeros(len(known), np.int64)
-            below = lower[suffix]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cost = np.where(freq > 0, np.log2((total + kinds) / freq), np.where(kinds > 0, np.log2((total + kinds) / kinds), 0) + below)
+            orders.append((rows, row, index[known % a ** max(order - 1, 0)] if order else np.zeros(len(known), np.int32)))
             # contexts that no language has seen have the row of their longest seen suffix
-            grown = np.tile(index, a) if order else np.zeros(1, np.int64)
-            grown[known] = len(lower) + np.arange(len(known))
-            lower, index = np.concatenate([lower, cost]), grown
-        return symbol, index, np.ascontiguousarray(lower.reshape(-1, count).astype(np.float32)), a
+            index = np.tile(index, a) if order else index
+            index[known] = rows + np.arange(len(known))
+            rows += len(known)
+        cost = np.empty((count, rows, a), np.float32)
+        for k in range(count):
+            mine = self.lang == k
+            last, n = parts[ORDER][mine], self.n[mine]
+            exact = np.empty((orders[-1][0], a))  # costs by context of the orders before the last
+            exact[0] = np.log2(256.0)
+            for start, row, suffix in orders:
+                pairs, back = np.unique(row[mine] * a + last, return_inverse=True)
+                freq, context = np.bincount(back, n, len(pairs)), pairs // a
+                kinds = np.bincount(context, minlength=len(suffix))
+                whole = np.bincount(context, freq, len(suffix)) + kinds
+                escape = np.log2(whole / np.maximum(kinds, 1), out=np.zeros(len(suffix)), where=kinds > 0)
+                to = (cost[k] if start == len(exact) else exact)[start : start + len(suffix)]
+                for lo in range(0, len(suffix), max(1, BLOCK // a)):
+                    some = slice(lo, lo + max(1, BLOCK // a))
+                    to[some] = exact[suffix[some]] + escape[some, None]
+                to[context, pairs % a] = np.log2(whole[context] / freq)
+            cost[k, : len(exact)] = exact
+        return symbol, index, cost.reshape(count, -1), a
 
     def lists(self, lang: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each order, from the longest: seen context-byte pairs with their costs, and seen contexts with their escapes', ascending."""
@@ -153,20 +165,24 @@ def code_lengths(trees: Trees, text: pa.Array) -> np.ndarray:
     out = np.zeros((len(text), len(trees.langs)))
     for lo in range(ORDER, len(data), BLOCK):
         hi = min(lo + BLOCK, len(data))
-        total = np.zeros((hi - lo + 1, len(trees.langs)))
+        docs = np.arange(np.searchsorted(begin, lo, "right") - 1, np.searchsorted(begin, hi, "left"))
+        first, end = np.clip(begin[docs] + ORDER, lo, hi) - lo, np.clip(begin[docs + 1], lo, hi) - lo
         if table:
             symbol, index, cost, a = table
             s = symbol[data[lo - ORDER : hi]]
-            ctx = np.zeros(hi - lo, np.int64)
+            at = np.zeros(hi - lo, np.int64)
             for j in range(ORDER):
-                ctx = ctx * a + s[j : hi - lo + j]
-            np.cumsum(cost[index[ctx] * a + s[ORDER:]], axis=0, dtype=np.float64, out=total[1:])
+                at *= a
+                at += s[j : hi - lo + j]
+            at[:] = index[at]
+            at *= a
+            at += s[ORDER:]
         else:
             grams = _grams(data[lo - ORDER : hi])
-            for k, x in enumerate(lists):
-                np.cumsum(listed_costs(x, grams), out=total[1:, k])
-        docs = np.arange(np.searchsorted(begin, lo, "right") - 1, np.searchsorted(begin, hi, "left"))
-        out[docs] += total[np.clip(begin[docs + 1], lo, hi) - lo] - total[np.clip(begin[docs] + ORDER, lo, hi) - lo]
+        total = np.zeros(hi - lo + 1)  # one language at a time: its size doesn't grow with their number
+        for k in range(len(trees.langs)):
+            np.cumsum(cost[k][at] if table else listed_costs(lists[k], grams), dtype=np.float64, out=total[1:])
+            out[docs, k] += total[end] - total[first]
     return out
 
 

@@ -5,6 +5,7 @@ import json
 import re
 import struct
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -519,6 +520,29 @@ def test_lists_give_the_lengths_of_the_table(monkeypatch):
     assert ppm.code_lengths(trees(), probe) == pytest.approx(want, rel=1e-5, abs=1e-6)
 
 
+def test_language_id_holds_little_beside_its_table():
+    """Neither making the table nor scoring a long text takes memory by the number of languages."""
+    rng = np.random.default_rng(20)
+    pool = list("abcdefghijklmnopqrstuvwxyzé .,")
+    text = ["".join(rng.choice(pool, 600)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"l{k:02}" for k in range(40)]), pa.array(text)], names=["lang", "text"])
+    found = pa.concat_batches(list(ppm.count_grams(iter([batch])))).to_pandas()
+    trees = ppm.Trees(sorted(found["lang"].unique()), found["lang"].str[1:].astype(int).to_numpy(), found["gram"].to_numpy(), found["n"].to_numpy())
+    long = pa.array(["".join(rng.choice(pool, ppm.BLOCK))])
+    tracemalloc.start()
+    try:
+        size = sum(x.nbytes for x in trees.table()[:3])
+        assert size > 50e6 and tracemalloc.get_traced_memory()[1] < 2 * size
+        assert ppm.code_lengths(trees, pa.array([text[7]])).argmin() == 7
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        assert ppm.code_lengths(trees, long).shape == (1, 40)
+        assert tracemalloc.get_traced_memory()[1] - before < 64 * ppm.BLOCK
+    finally:
+        tracemalloc.stop()
+        ppm._TABLES.clear()
+
+
 def test_sample_is_whole_up_to_its_bound(spark):
     """All documents of a language are learned from while there are no more than the bound, and one row of a repeated doc_id."""
     ship(spark)
